@@ -21,13 +21,52 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_runs import drop_repeated_runs
+
+    out = drop_repeated_runs(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed"), F.size("__spans").cast("long").alias("n_runs"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents labelled good and not toxic."""
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import classify
+
+    per, _, _ = classify(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    return per.select("doc_id", "lang", F.col("n").alias("n_symbols"), "perplexity", "bound", "kept")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_near_duplicates, op10_mixing)}
-
-#: None of the ten can be stated in SQL that DuckDB runs over whole tables in a sensible time; tests/llm holds each against brute force.
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_near_duplicates, op8_line_dedup, op9_quality, op10_mixing)}
+
+#: Equivalents for DuckDB where SQL can state the operator; tests/llm holds the others against brute force.
+ORACLE: dict[str, str] = {
+    "op8_line_dedup": """
+with l as (
+    select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+    from documents where doc_id is not null and text is not null
+), w as (
+    select doc_id, i, line, lead(line) over (partition by doc_id order by i) as nxt from l
+), f as (
+    select line, nxt, min({'d': doc_id, 'i': i}) as first from w where nxt is not null group by 1, 2
+), c as (
+    select w.doc_id, w.i from w join f on w.line = f.line and w.nxt = f.nxt where {'d': w.doc_id, 'i': w.i} > f.first
+), g as (
+    select distinct doc_id, i from (select doc_id, i from c union all select doc_id, i + 1 from c)
+), k as (
+    select l.doc_id, l.line, l.i, g.i is not null as gone, g.i is not null and lag(g.i) over (partition by l.doc_id order by l.i) is null as begins
+    from l left join g on l.doc_id = g.doc_id and l.i = g.i
+)
+select doc_id, count(*) as n_lines, count(*) filter (gone) as n_removed, count(*) filter (begins) as n_runs,
+    sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from k group by doc_id""",
+}
