@@ -36,7 +36,7 @@ def batch_rows(spark: SparkSession, rows: int):
 
 
 def encode(arrays: dict[str, np.ndarray]) -> bytes:
-    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.large_binary()) for x in arrays.values()] or [pa.array([0])], [f"{k}|{x.dtype.str}" for k, x in arrays.items()] or ["-"])
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.large_binary()) for x in arrays.values()] or [pa.array([0])], [f"{k}\t{x.dtype.str}" for k, x in arrays.items()] or ["-"])
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batch.schema) as w:
         w.write_batch(batch)
@@ -48,7 +48,7 @@ def decode(blob: bytes) -> dict[str, np.ndarray]:
     out = {}
     for name, col in zip(batch.schema.names, batch.columns):
         if name != "-":
-            key, kind = name.rsplit("|", 1)
+            key, kind = name.rsplit("\t", 1)
             out[key] = np.frombuffer(col[0].as_buffer(), np.dtype(kind))
     return out
 

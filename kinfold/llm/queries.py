@@ -9,6 +9,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on documents outside the held-out third; every document is predicted from its text alone."""
+    from .languages import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    out = identify(docs.select("doc_id", "text"), fit(docs.where(~held).select("doc_id", "text", "lang")))
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -21,6 +31,18 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_runs import drop_repeated_runs
 
@@ -46,7 +68,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_near_duplicates, op8_line_dedup, op9_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op5_fingerprints, op6_repeats, op8_line_dedup, op9_quality, op10_mixing)}
 
 #: Equivalents for DuckDB where SQL can state the operator; tests/llm holds the others against brute force.
 ORACLE: dict[str, str] = {
