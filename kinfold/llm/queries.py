@@ -31,6 +31,15 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so each vector of embeddings is drawn as one; edited copies of those whose id 50 divides are
+    searched for among all."""
+    from .images import find_copies, pictures
+
+    rows = table(spark, sf_dir, "embeddings").where("vec_id is not null").select("vec_id", "embedding")
+    return find_copies(pictures(rows.where("vec_id % 50 = 0"), change=True), pictures(rows))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_fingerprints
 
@@ -43,6 +52,14 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .unit_dedup import remove_repeated_units
+
+    out = remove_repeated_units(table(spark, sf_dir, "documents"))
+    first = F.when(F.size("__spans") > 0, F.element_at("__spans", 1)["start"]).otherwise(-1)
+    return out.select("doc_id", F.col("__units").alias("n_units"), F.col("__removed").alias("n_removed"), first.alias("first_removed"), "text")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_runs import drop_repeated_runs
 
@@ -68,10 +85,26 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op5_fingerprints, op6_repeats, op8_line_dedup, op9_quality, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplicates, op4_media, op5_fingerprints, op6_repeats, op7_unit_dedup, op8_line_dedup, op9_quality, op10_mixing)}
 
 #: Equivalents for DuckDB where SQL can state the operator; tests/llm holds the others against brute force.
 ORACLE: dict[str, str] = {
+    "op7_unit_dedup": r"""
+with l as (
+    select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
+    from documents where doc_id is not null and text is not null
+), n as (
+    select *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) as unit,
+        coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start
+    from l
+), f as (
+    select unit, min({'d': doc_id, 'i': i}) as first from n where len(string_split(unit, ' ')) >= 5 group by unit
+), k as (
+    select n.*, coalesce({'d': n.doc_id, 'i': n.i} > f.first, false) as gone from n left join f on n.unit = f.unit
+)
+select doc_id, count(*) as n_units, count(*) filter (gone) as n_removed, coalesce(min(start) filter (gone), -1) as first_removed,
+    coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as text
+from k group by doc_id""",
     "op8_line_dedup": """
 with l as (
     select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
