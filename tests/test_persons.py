@@ -1,0 +1,114 @@
+import pytest
+
+from kinfold.operators import evaluate, generate, quality, resolve, warehouse as W
+from kinfold.plans import job
+from kinfold.sources.tables import person_records
+
+
+@pytest.fixture(scope="module")
+def registries(spark):
+    return [df.cache() for df in generate.registries(spark, 80)]
+
+
+def test_generator_is_stable(spark, registries):
+    a, b, truth = registries
+    again = generate.registries(spark, 80)[2]
+    assert sorted(map(str, truth.collect())) == sorted(map(str, again.collect()))
+    assert truth.count() == 80 and a.count() > 40 and b.count() > 40
+    assert truth.where("src_projects_raw is null and src_hr_raw is null").isEmpty()
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_components_fold_as_one(spark, registries, strict):
+    rules = resolve.Rules(strict=strict)
+    rows = person_records(registries[0], registries[1]).orderBy("source_id", "source_pk").collect()
+    records = [(i + 1, r.fio) for i, r in enumerate(rows)] + [(1000, "Новиков И."), (1001, "Новиков Илья"), (1002, "Новиков Игорь"), (1003, None), (1004, "")]
+    whole = {r["seq"]: (r["method"], r["founder_seq"], r["score"], r["last_name"], r["first_name"], r["middle_name"]) for r in resolve.fold_records(records, rules)}
+    got = {r.seq: (r.method, r.founder_seq, r.score, r.last_name, r.first_name, r.middle_name) for r in resolve.resolve(spark.createDataFrame(records, "seq long, fio string"), rules).collect()}
+    assert got == whole
+    assert {m for m, *_ in whole.values()} >= {"new", "exact"}
+
+
+def test_late_first_name():
+    out = resolve.fold_records([(1, "Новиков И."), (2, "Новиков Илья"), (3, "Новиков Игорь")], resolve.Rules())
+    assert [r["method"] for r in out] == ["new", "pattern", "exact"]
+
+
+def test_quality_of_links(spark, registries):
+    a, b, truth = registries
+    _, aliases, _ = resolve.resolve_records(person_records(a, b))
+    r = evaluate.pairwise(aliases.withColumnRenamed("gid", "person_sk"), evaluate.truth_records(truth)).first()
+    assert r.precision > 0.8 and r.recall > 0.6
+
+
+def tables(spark, registries):
+    a, b, _ = registries
+    now = "timestamp'2026-01-01'"
+    t = {"employee": a.selectExpr("emp_id", "full_name", f"{now} as created_at"), "person": b.selectExpr("person_id", "fio", f"{now} as created_at")}
+    t["role"] = spark.sql("select 1 role_id, 'dev' role_name, 'd' description union all select 2, 'qa', 'q'")
+    t["project"] = spark.sql("select 1 project_id, 'P' project_name, 'c' customer, 'd' description, date'2025-01-01' start_date, cast(null as date) end_date, 'active' status")
+    t["technology"] = spark.sql("select 1 tech_id, 'Spark' tech_name, 'x' category union all select 2, 'Arrow', 'x' union all select 3, 'Zstd', 'x'")
+    t["project_technology"] = spark.sql("select 1 project_id, 1 tech_id, 1 is_core union all select 1, 2, 0 union all select 1, 3, 1")
+    t["assignment"] = a.selectExpr("emp_id as assignment_id", "emp_id", "1 as project_id", "1 as role_id", "cast(50 as short) as allocation_pct", "date'2025-02-03' as date_from", "cast(null as date) as date_to")
+    t["resume"] = b.selectExpr("person_id", "'x' as position_title", "cast(4.5 as decimal(3,1)) as total_experience_years", "'e' as education", "'s' as summary", "date'2025-01-01' as updated_at")
+    t["competency"] = spark.sql("select 1 competency_id, 'SQL' name, 'hard' category")
+    t["person_competency"] = b.selectExpr("person_id", "1 as competency_id", "cast(3 as short) as level", "cast(2.0 as decimal(3,1)) as years_exp")
+    pay = generate.pay(t["resume"].select("person_id", "total_experience_years"))
+    t["compensation"] = pay.selectExpr("person_id * 10 + (period_year - 2025) * 4 + period_quarter as comp_id", "*")
+    return t
+
+
+def test_job(spark, registries, tmp_path):
+    root, t = str(tmp_path / "dw"), tables(spark, registries)
+    where = job.run(spark, t, root)
+    assert W.current(spark, root) == where
+    read = lambda n: spark.read.parquet(f"{where}/{n}")
+    assert read("dim_date").count() == 4018
+    assert read("dim_project").first().tech_stack == "Spark, Zstd, Arrow"
+    assert read("dim_person").count() == read("dim_person").select("match_key").distinct().count() > 50
+    n = read("dim_person_alias").count() + read("etl_review_queue").count()
+    assert n == t["employee"].count() + t["person"].count()
+    assert not read("fact_assignment").isEmpty() and read("fact_assignment").first().date_from_key == 20250203
+    assert read("fact_compensation").where("total_pay <> salary + bonus").isEmpty()
+    assert not W.pay_and_load(read("fact_assignment"), read("fact_compensation")).isEmpty()
+    # Again over the same data: the same persons under the same keys.
+    again = job.run(spark, t, root)
+    old, new = ({(r.match_key, r.person_sk) for r in spark.read.parquet(f"{x}/dim_person").collect()} for x in (where, again))
+    assert again != where and old == new
+    log = spark.read.parquet(f"{root}/etl_run_log").collect()
+    assert [r.status for r in log] == ["success", "success"]
+    # Bad data leave the published state as it was.
+    t["assignment"] = t["assignment"].selectExpr("assignment_id", "emp_id", "project_id", "9 as role_id", "cast(120 as short) as allocation_pct", "date_from", "date_to")
+    with pytest.raises(ValueError, match="allocation"):
+        job.run(spark, t, root)
+    assert W.current(spark, root) == again
+    assert sorted(r.status for r in spark.read.parquet(f"{root}/etl_run_log").collect()) == ["failed", "success", "success"]
+
+
+def test_reviews(spark):
+    q = spark.createDataFrame([(1, 2, 7, "А Б", 3, 0.85, "x", "new"), (2, 2, 8, "В Г", 4, 0.86, "x", "new"), (3, 2, 9, "Д Е", None, 0.86, "x", "new")], "review_id long, source_id int, source_pk long, raw_fio string, candidate_person_sk long, match_score double, reason string, status string")
+    done, alias = W.apply_reviews(q, spark.createDataFrame([(1, True), (2, False)], "review_id long, approved boolean"))
+    assert {r.review_id: r.status for r in done.collect()} == {1: "approved", 2: "rejected", 3: "new"}
+    assert [(r.person_sk, r.match_method) for r in alias.collect()] == [(3, "manual")]
+
+
+def test_rules(spark):
+    df = spark.createDataFrame([(1, None), (2, 5), (3, -1)], "k int, v int")
+    assert {r.rule: r.violations for r in quality.check_rows(df, {"sign": "v >= 0"}).collect()} == {"sign": 1}
+    assert quality.duplicates(df.union(df.limit(1)), ("k",)).first().violations == 1
+    assert quality.orphans(df, "v", df, "k").first().violations == 2
+
+
+def test_stream(spark, registries, tmp_path):
+    from kinfold.streaming import incremental
+
+    rows = person_records(registries[0], registries[1]).orderBy("source_id", "source_pk").limit(40).repartition(1)
+    rows.where("source_pk % 2 = 0").write.parquet(str(tmp_path / "in" / "a"))
+    src = str(tmp_path / "in")
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", "true").parquet(src)
+    incremental.start(stream, str(tmp_path / "dw"), str(tmp_path / "cp")).awaitTermination()
+    rows.where("source_pk % 2 = 1").write.parquet(str(tmp_path / "in" / "b"))
+    incremental.start(stream, str(tmp_path / "dw"), str(tmp_path / "cp")).awaitTermination()
+    at = W.current(spark, str(tmp_path / "dw"))
+    assert spark.read.parquet(f"{at}/records").count() == 40
+    assert spark.read.parquet(f"{at}/dim_person_alias").count() + spark.read.parquet(f"{at}/etl_review_queue").count() >= 40
