@@ -50,6 +50,17 @@ class Scratch:
                     p.getFileSystem(conf).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until df has no such column."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        out.append(n)
+    return out
+
+
 # ---- hashing -------------------------------------------------------------------------------------------------
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)

@@ -14,7 +14,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 
 def _ranked(scratch: Scratch, pairs: DataFrame, keys: list[str], level: int) -> DataFrame:
@@ -52,16 +52,16 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
     """All rows of ``docs`` with later copies of repeated line runs deleted from the text, and the columns __lines, __removed
-    (lines) and __spans (array of (start line, lines) removed).
+    (lines) and __spans (array of (start line, lines) removed), which take the place of columns of these names.
 
     Lines are what stands between line feeds, compared exactly.  Nulls keep a null text, and rows with a null id are left alone;
     an empty text is one empty line.  Rows that share id and text are one place: they don't delete one another.
     Ties go by the hash of the text.  A text whose lines all go becomes empty.
     """
     covers = repeated_runs(docs, id_col, text_col, min_lines)
-    spans = covers.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("idx", "length"))).alias("__c")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), "__c")
-    d = docs.withColumn("__th", F.xxhash64(text_col))
-    j = d.join(spans, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__th") == F.col("__t")), "left").drop("__id", "__t", "__th")
+    key, th, c, cut_ = fresh(docs, "__id", "__th", "__c", "__cut")
+    spans = covers.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("idx", "length"))).alias(c)).select(F.col("doc_id").alias(key), F.col("th").alias(th), c)
+    j = docs.join(spans, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(th)), "left").drop(key, th)
 
     def merge(c):
         out: list[list[int]] = []
@@ -92,5 +92,6 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             rows.append(("\n".join(kept), len(lines), len(lines) - len(kept), [{"start": a, "lines": b - a} for a, b in spans]))
         return pd.DataFrame(rows, columns=["text", "lines", "removed", "spans"])
 
-    j = j.withColumn("__cut", cut(F.col(text_col), F.col("__c"))).drop("__c")
-    return j.withColumn(text_col, F.col("__cut.text")).withColumns({"__lines": F.col("__cut.lines"), "__removed": F.col("__cut.removed"), "__spans": F.col("__cut.spans")}).drop("__cut")
+    j = j.withColumn(cut_, cut(F.col(text_col), F.col(c))).drop(c)
+    done = F.col(cut_)
+    return j.withColumn(text_col, done["text"]).withColumns({"__lines": done["lines"], "__removed": done["removed"], "__spans": done["spans"]}).drop(cut_)

@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import WORD, Scratch, constants, mix64
+from .common import WORD, Scratch, constants, fresh, mix64
 
 #: Sources above this number are refused: their plan is made on the driver.
 MAX_SOURCES = 200_000
@@ -168,10 +168,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixed")
     _, pieces = mix(docs, **options)
-    runs = pieces.groupBy("doc_id", "thash").agg(F.collect_set(F.struct(F.col("pass").alias("p"), "start", "length")).alias("__runs"))
-    d = docs.withColumn("__thash", F.xxhash64("text"))
-    runs = runs.select(F.col("doc_id").alias("__id"), F.col("thash").alias("__t"), "__runs")
-    j = d.join(runs, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__thash") == F.col("__t"))).drop("__id", "__t", "__thash")
+    key, th, parts = fresh(docs, "__id", "__th", "__runs")
+    runs = pieces.groupBy("doc_id", "thash").agg(F.collect_set(F.struct(F.col("pass").alias("p"), "start", "length")).alias(parts))
+    runs = runs.select(F.col("doc_id").alias(key), F.col("thash").alias(th), parts)
+    j = docs.join(runs, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(th))).drop(key, th)
     word = re.compile("[^\x20\x09-\x0d]+")
     fields = docs.schema
 
@@ -181,7 +181,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
             for row in frame.to_dict("records"):
                 text, passes = row["text"], {}
                 at = [m.span() for m in word.finditer(text)]
-                for r in row.pop("__runs"):
+                for r in row.pop(parts):
                     passes.setdefault(r["p"], []).append((r["start"], r["start"] + r["length"]))
                 for p in sorted(passes):
                     merged = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 
 
 def units(text: str, separator: str) -> list[tuple[int, str]]:
@@ -28,7 +28,7 @@ def normalised(unit: str) -> bytes:
 
 def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = 5) -> DataFrame:
     """All rows of ``docs``, the text without its repeated units, and __units, __removed, __spans (array of (start, length) of the
-    removed units in code points of the original text).
+    removed units in code points of the original text), which take the place of columns of these names.
 
     A unit counts if it has at least ``min_words`` words.  Its first occurrence by (id, hash of the text, place) stays; all later
     ones go, in the same document too.  Null texts stay null, null ids are left alone and keep nobody else from staying;
@@ -57,9 +57,9 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
     where = F.struct("doc_id", "th", "place")
     first = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(where).alias("first")).where("c > 1").drop("c")
     later = found.join(first, ["a", "b"]).where(where > F.col("first"))
-    gone = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("place")).alias("__gone")).select(F.col("doc_id").alias("__id"), F.col("th").alias("__t"), "__gone")
-    j = docs.withColumn("__th", F.xxhash64(text_col))
-    j = j.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__th") == F.col("__t")), "left").drop("__id", "__t", "__th")
+    key, th, places, cut_ = fresh(docs, "__id", "__th", "__gone", "__cut")
+    gone = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("place")).alias(places)).select(F.col("doc_id").alias(key), F.col("th").alias(th), places)
+    j = docs.join(gone, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(th)), "left").drop(key, th)
 
     @F.pandas_udf("struct<text string, units long, removed long, spans array<struct<start long, length long>>>")
     def cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -74,5 +74,6 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 rows.append((separator.join(u for i, (_, u) in enumerate(every) if i not in drop), len(every), len(drop), [{"start": every[i][0], "length": len(every[i][1])} for i in sorted(drop)]))
         return pd.DataFrame(rows, columns=["text", "units", "removed", "spans"])
 
-    j = j.withColumn("__cut", cut(F.col(text_col), F.col("__gone"))).drop("__gone")
-    return j.withColumn(text_col, F.col("__cut.text")).withColumns({"__units": F.col("__cut.units"), "__removed": F.col("__cut.removed"), "__spans": F.col("__cut.spans")}).drop("__cut")
+    j = j.withColumn(cut_, cut(F.col(text_col), F.col(places))).drop(places)
+    done = F.col(cut_)
+    return j.withColumn(text_col, done["text"]).withColumns({"__units": done["units"], "__removed": done["removed"], "__spans": done["spans"]}).drop(cut_)
