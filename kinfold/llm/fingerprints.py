@@ -69,7 +69,7 @@ def likeness(a: np.ndarray | None, b: np.ndarray | None) -> float:
     return min(1.0, max(0.0, (float((a == b).mean()) - c) / (1 - c)))
 
 
-def with_next(docs: DataFrame, scratch: Scratch, part_rows: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, scratch: Scratch, part_rows: int = 1024) -> DataFrame:
     """(bucket, ghost, doc_id, text): rows in buckets of neighbouring ids; ghost rows are the first row of the following bucket.
 
     Bucket borders are quantiles of the ids (one for each part_rows rows, at most 100,000); which row heads a bucket is
