@@ -148,7 +148,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     final = lambda x: F.least(F.expr(f"({x}) div {block}"), F.col("blocks") - 1)
     parts = d.where("size > 0").select("doc_id", "thash", "s", "size", "off", "blocks", F.explode(F.sequence(final("off"), final("off + size - 1"))).alias("block"))
-    parts = parts.join(slots, ["s", "block"])
+    # The size of what a function makes is unknown to the planner, which would take it for small and broadcast it.
+    parts = parts.join(slots.hint("merge"), ["s", "block"])
     lo = F.greatest(F.col("block") * block, F.col("off"))
     end = F.when(F.col("block") == F.col("blocks") - 1, F.col("off") + F.col("size")).otherwise(F.least((F.col("block") + 1) * block, F.col("off") + F.col("size")))
     end = F.least(end, F.when(F.col("limit") < (1 << 40), F.col("block") * block + F.col("limit")).otherwise(end))
