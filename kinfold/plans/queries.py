@@ -258,8 +258,8 @@ def osa_distance(spark, sf):
 
 
 def _registries(spark, sf):
-    """Names for as many persons as there are customers."""
-    return generate.registries(spark, table(spark, sf, "customer").count())
+    """Names for as many persons as there are suppliers."""
+    return generate.registries(spark, table(spark, sf, "supplier").count())
 
 
 @query()
