@@ -10,9 +10,12 @@ the second.  collections**2 tables of 2 * rows hashes thus cost 2 * collections
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, components, constants, mix64, shingles
 
@@ -56,14 +59,103 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (p, q) that are similar enough on their full sets, as (a, b)."""
+    x, y = sets.select(F.col("id").alias("p"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("q"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return pairs.join(y, "q").join(x, "p").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select(F.col("p").alias("a"), F.col("q").alias("b"))
+
+
+def shingle_counts(sets: DataFrame, counters: int) -> np.ndarray:
+    """How often shingles occur in the sets, by hash, in a fixed number of counters.
+
+    A task adds up its own and sends one compressed array; these are added in up to 64 groups, then over the groups, and one
+    array comes to the driver.
+    """
+
+    def count(batches):
+        total = np.zeros(counters, np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() % counters, minlength=counters)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64]), pa.array([zstandard.compress(total.tobytes())])], ["g", "blob"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in frame["blob"])
+        return pd.DataFrame({"g": [0], "blob": [zstandard.compress(total.tobytes())]})
+
+    parts = sets.select("shingles").mapInArrow(count, "g long, blob binary")
+    for _ in range(2):
+        parts = parts.groupBy("g").applyInPandas(add, "g long, blob binary")
+    got = parts.first()
+    return np.frombuffer(zstandard.decompress(got.blob), np.int64) if got else np.zeros(counters, np.int64)
+
+
+def remaining_pairs(scratch: Scratch, sets: DataFrame, percent: int, counters: int = 1 << 18, step: float = 1.04) -> DataFrame:
+    """Pairs (p, q) of sets (id, shingles, component) from different components that may be similar enough; none that is is left out.
+
+    Two sets of sizes m and n are similar enough only if they share at least c = percent / (100 + percent) * (m + n) shingles, so
+    in any fixed order of the shingles they share one among the first m - c + 1 of the one and the first n - c + 1 of the other.
+    The order is rarest first (counts by hash, in a fixed number of counters, so it is one array of 2 MB for all), sizes are
+    taken in classes of a factor ``step``, and rows meet on (shingle, both classes) where the rest of both sets, from the
+    shingle on, is long enough for c.  Copies with many edits of their own thus
+    meet only copies that share one of these edits.  In each such key only the members outside its largest component ask.
+    """
+    shared = scratch.spark.sparkContext.broadcast(shingle_counts(sets, counters))
+    log = float(np.log(step))
+
+    def size_class(n):
+        return int(np.floor(np.log(n) / log + 1e-9))
+
+    def run(batches):
+        count = shared.value
+        for batch in batches:
+            keys, side, place, size, owner, comps = [], [], [], [], [], []
+            for i, x, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                x = np.asarray(x.values).astype(np.int64)
+                n = len(x)
+                own = size_class(n)
+                x = x[np.lexsort((x, count[x % counters]))].view(np.uint64)
+                for other in range(size_class(max(1, n * percent // 100)), size_class(n * 100 // percent + 1) + 1):
+                    low = max(int(np.exp(other * log) * (1 - 1e-9)), -(-n * percent // 100))
+                    need = -(-percent * (n + low) // (100 + percent))
+                    first = n - need + 1
+                    if first > 0:
+                        tag = np.uint64(min(own, other) * 100003 + max(own, other))
+                        keys.append(mix64(x[:first] ^ mix64(np.array([tag]))))
+                        side.append(np.full(first, np.sign(own - other), np.int32))
+                        place.append(np.arange(first, dtype=np.int32))
+                        size.append(np.full(first, n, np.int32))
+                        owner.append(np.full(first, i, np.int64))
+                        comps.append(np.full(first, c, np.int64))
+            if keys:
+                cols = [np.concatenate(x) for x in (keys, side, place, size, owner, comps)]
+                cols[0] = cols[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "side", "place", "n", "id", "component"])
+
+    rows = sets.select("id", "shingles", "component").mapInArrow(run, "key long, side int, place int, n int, id long, component long")
+    rows = scratch.save(rows, "prefixes")
+    sizes = sets.groupBy("component").agg(F.count("*").alias("members"))
+    keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("side").alias("low"), F.max("side").alias("high"))
+    keys = keys.where("lo <> hi and (low <> high or low = 0)").select("key")
+    rows = scratch.save(rows.join(keys, "key").join(sizes, "component"), "shared")
+    top = rows.groupBy("key").agg(F.max(F.struct("members", "component")).alias("t")).select("key", F.col("t.component").alias("top"))
+    # Rows of one class ask those of the other: sides are -1 and 1, or 0 where both classes are one.
+    ask = rows.join(top, "key").where("component <> top").select("key", (-F.col("side")).alias("side"), F.col("place").alias("px"), F.col("n").alias("nx"), F.col("id").alias("x"), F.col("component").alias("cx"))
+    told = rows.select("key", "side", F.col("place").alias("py"), F.col("n").alias("ny"), F.col("id").alias("y"), F.col("component").alias("cy"))
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    pairs = ask.join(told, ["key", "side"]).where("cx <> cy").where(rest * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
+    return scratch.save(pairs.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct(), "pairs")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, collections: int = 8, rows: int = 2) -> DataFrame:
     """Classes of texts whose sets of word shingles have 100 * |intersection| >= percent * |union|, closed transitively.
 
     Returns one row per input row: doc_id, n_shingles, component_id (the smallest id that can be reached), kept
-    (doc_id = component_id).  Rows with equal sets are one node from the start.  In a table's bucket the smallest ids
-    serve as pivots: all others are checked against them on the full sets; then the pivots leave, buckets that lie in one
-    component are done, and the rest go on with four times as many pivots until no bucket has an unchecked pair that
-    could join two components.  So no bucket is gathered or paired with itself at once, and no candidate is dropped.
+    (doc_id = component_id).  Rows with equal sets are one node from the start.  In each bucket of a table all members are
+    checked against the smallest id, on the full sets.  Buckets that then lie in one component are done; the members of
+    the others go through remaining_pairs, which gives every pair of different components that can be similar enough.
+    So no bucket is gathered or paired with itself, and no candidate is dropped.
 
     A null or wordless text has an empty set and is linked with nothing.  Rows that share an id count as one document.
     A null id gives a null component and kept = true.  An empty table gives an empty result.  Further columns are ignored.
@@ -75,47 +167,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = scratch.save(
         sigs.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes"
     )
-    comp = None
     # Below percent / (100 - percent) shingles, sets of different sizes can't reach the bound.
-    least = -(-percent // (100 - percent))
-    usable = nodes.where(F.col("n") >= F.lit(least)) if percent < 100 else nodes.limit(0)
+    least = -(-percent // (100 - percent)) if percent < 100 else 1 << 62
+    usable = nodes.where(F.col("n") >= F.lit(least))
     first, second = F.slice("keys", 1, collections), F.slice("keys", collections + 1, collections)
     entries = usable.select("id", "n", F.posexplode(first).alias("i", "a"), second.alias("kb")).select("id", "n", "i", "a", F.posexplode("kb").alias("j", "b"))
     entries = entries.select(F.xxhash64("a", "b", F.col("i") * collections + F.col("j")).alias("key"), "id", "n")
-    shared = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.max("id").alias("last")).where("c > 1 and pivot <> last")
-    members = scratch.save(entries.join(shared.select("key"), "key"), "members")
-    sets, links, pivots = None, None, 1
-    while True:
-        at = members
-        if comp is not None:
-            at = members.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        else:
-            at = members.withColumn("component", F.col("id"))
-        open_ = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        at = scratch.save(at.join(open_, "key"), "open")
-        if at.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy("id")
-        chosen = at.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-        p = chosen.select("key", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("component").alias("pc"))
-        pairs = at.join(p, "key").where("id > p and component <> pc").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).select("p", F.col("id").alias("q")).distinct()
-        pairs = scratch.save(pairs, "pairs")
-        if sets is None:
-            ids = at.select("id").distinct()
-            sets = scratch.save(shingle_sets(docs.join(ids, docs.doc_id == ids.id, "left_semi"), width).distinct(), "sets")
-        s = sets.select(F.col("id").alias("p"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("q"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        found = pairs.join(s[1], "q").join(s[0], "p").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select(F.col("p").alias("a"), F.col("q").alias("b"))
-        links = scratch.save(found if links is None else links.union(found), "links")
+    shared = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("last")).where("p.id <> last").select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
+    members = scratch.save(entries.join(shared, "key"), "members")
+    ids = members.select("id").distinct()
+    sets = scratch.save(shingle_sets(docs.join(ids, docs.doc_id == ids.id, "left_semi"), width).distinct(), "sets")
+    pairs = members.where("id > pivot").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).select(F.col("pivot").alias("p"), F.col("id").alias("q")).distinct()
+    links = scratch.save(verified(pairs, sets, percent), "links")
+    comp = components(scratch, links)
+    at = members.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    split = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_ids = scratch.save(at.join(split, "key", "left_semi").select("id", "component").distinct(), "open")
+    if not open_ids.isEmpty():
+        more = verified(remaining_pairs(scratch, sets.join(open_ids, "id"), percent), sets, percent)
+        links = scratch.save(links.union(more), "links")
         comp = components(scratch, links)
-        last = chosen.select("key", "id")
-        members = scratch.save(at.drop("component").join(last, ["key", "id"], "left_anti"), "members")
-        pivots *= 4
     out = sigs.join(nodes.select("digest", F.col("id").alias("node")), "digest", "left")
-    if comp is not None:
-        out = out.join(comp, "node", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
+    out = out.join(comp, "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
