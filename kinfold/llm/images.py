@@ -2,7 +2,7 @@
 
 Corners are the strongest local maxima of the Harris response at several scales.  Each gets an orientation from the intensity
 centroid around it and 256 comparisons of smoothed pixel pairs, turned by that orientation.  Descriptors meet in Hamming tables
-keyed by one of eight 32-bit words (two descriptors that differ in at most seven bits share a word for certain), and are
+keyed by one of four 64-bit parts (two descriptors that differ in at most three bits share a part for certain), and are
 kept as matches at MAX_BITS differing bits or less.  Matches of two images vote for a shift at their common scale; an
 image is a copy if at least MIN_VOTES corners of the query agree.
 
@@ -145,11 +145,16 @@ def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS,
     asks = scratch.save(distinct_images(queries), "queries")
     left = scratch.save(describe(asks.select("id", "image")), "asked")
     right = scratch.save(describe(base.select("id", "image")), "described")
-    key = lambda d: d.select("*", F.posexplode("words").alias("t", "w"))
-    a = key(left).select("t", "w", F.col("id").alias("q"), F.col("corner").alias("qc"), F.col("x").alias("qx"), F.col("y").alias("qy"), "scale", F.col("words").alias("qw"))
-    b = key(right).select("t", "w", F.col("id").alias("i"), F.col("corner").alias("ic"), F.col("x").alias("ix"), F.col("y").alias("iy"), "scale", F.col("words").alias("iw"))
+    # The tables hold a hash of (place, two words, scale) and the corner's name; the descriptors follow only where these met.
+    words = F.array(*[F.xxhash64(F.lit(k), F.element_at("words", 2 * k + 1), F.element_at("words", 2 * k + 2), "scale") for k in range(4)])
+    key = lambda d: d.select(F.explode(words).alias("key"), "id", F.col("corner").cast("short").alias("corner"))
+    a, b = key(left), key(right)
+    met = a.select("key", F.col("id").alias("q"), F.col("corner").alias("qc")).join(b.select("key", F.col("id").alias("i"), F.col("corner").alias("ic")), "key").select("q", "qc", "i", "ic").distinct()
+    x = left.select(F.col("id").alias("q"), F.col("corner").cast("short").alias("qc"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("scale").alias("qs"), F.col("words").alias("qw"))
+    y = right.select(F.col("id").alias("i"), F.col("corner").cast("short").alias("ic"), F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("scale").alias("is"), F.col("words").alias("iw"))
     apart = sum(F.bit_count(F.element_at("qw", k).bitwiseXOR(F.element_at("iw", k))) for k in range(1, 9))
-    m = a.join(b, ["t", "w", "scale"]).where(apart <= max_bits).select("q", "qc", "i", "ic", (F.col("ix") - F.col("qx")).alias("dx"), (F.col("iy") - F.col("qy")).alias("dy")).distinct()
+    m = met.join(x, ["q", "qc"]).join(y, ["i", "ic"]).where((F.col("qs") == F.col("is")) & (apart <= max_bits))
+    m = m.select("q", "qc", "i", (F.col("ix") - F.col("qx")).alias("dx"), (F.col("iy") - F.col("qy")).alias("dy"))
     # Shifts fall in overlapping cells of 8 pixels, so that agreeing ones share a cell.
     cell = lambda c: F.array(F.floor(F.col(c) / 8), F.floor((F.col(c) + 4) / 8) + 1_000_000)
     v = m.select("q", "qc", "i", F.explode(cell("dx")).alias("cx"), "dy").select("q", "qc", "i", "cx", F.explode(cell("dy")).alias("cy"))
@@ -164,14 +169,14 @@ def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS,
 
 
 def picture(vector: np.ndarray, size: int = 80) -> np.ndarray:
-    """A picture that depends on the vector alone: shaded rectangles at places drawn from a generator seeded by its bytes."""
+    """A picture that depends on the vector alone: shaded, grained rectangles at places drawn from a generator seeded by its bytes."""
     rng = np.random.default_rng(xxhash.xxh3_64_intdigest(np.asarray(vector, np.float32).tobytes()))
     a = np.full((size, size), 128, np.float32)
     for _ in range(22):
         y, x = rng.integers(0, size - 6, 2)
         h, w = rng.integers(6, 26, 2)
         a[y : y + h, x : x + w] = rng.integers(10, 245)
-    return a
+    return a + _box(rng.normal(0, 40, (size, size)).astype(np.float32), 1)
 
 
 def edited(a: np.ndarray, seed: int) -> np.ndarray:
