@@ -2,7 +2,7 @@
 
 Corners are the strongest local maxima of the Harris response at several scales.  Each gets an orientation from the intensity
 centroid around it and 256 comparisons of smoothed pixel pairs, turned by that orientation.  Descriptors meet in Hamming tables
-keyed by one of four 64-bit parts (two descriptors that differ in at most three bits share a part for certain), and are
+keyed by one of eight 32-bit words (two descriptors that differ in at most seven bits share a word for certain), and are
 kept as matches at MAX_BITS differing bits or less.  Matches of two images vote for a shift at their common scale; an
 image is a copy if at least MIN_VOTES corners of the query agree.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch
 
@@ -22,6 +22,7 @@ SCALES = (1.0, 0.5)
 CORNERS = (28, 12)
 MAX_BITS = 48
 MIN_VOTES = 8
+SALTS = 8
 RADIUS = 7
 _RNG = np.random.default_rng(5)
 _PAIRS = np.clip(_RNG.normal(0, 3.0, (256, 4)), -RADIUS + 1, RADIUS - 1)
@@ -132,6 +133,11 @@ def distinct_images(images: DataFrame) -> DataFrame:
     return images.where("image is not null and id is not null").groupBy(F.xxhash64("image").alias("h"), F.xxhash64("image", F.lit(1)).alias("h2")).agg(F.min("id").alias("id"), F.first("image").alias("image"), F.count("*").alias("copies"))
 
 
+def table_keys() -> Column:
+    """One key for each of the eight words of a descriptor (columns words and scale): a hash of place, word and scale."""
+    return F.array(*[F.xxhash64(F.lit(k), F.element_at("words", k + 1), "scale") for k in range(8)])
+
+
 def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS, min_votes: int = MIN_VOTES) -> DataFrame:
     """(query_id, match_id, votes, copies): for each query (id, image) the different images of which it is a cropped or edited copy;
     match_id is the smallest id of the ``copies`` rows that hold the image.
@@ -145,10 +151,11 @@ def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS,
     asks = scratch.save(distinct_images(queries), "queries")
     left = scratch.save(describe(asks.select("id", "image")), "asked")
     right = scratch.save(describe(base.select("id", "image")), "described")
-    # The tables hold a hash of (place, two words, scale) and the corner's name; the descriptors follow only where these met.
-    words = F.array(*[F.xxhash64(F.lit(k), F.element_at("words", 2 * k + 1), F.element_at("words", 2 * k + 2), "scale") for k in range(4)])
-    key = lambda d: d.select(F.explode(words).alias("key"), "id", F.col("corner").cast("short").alias("corner"))
-    a, b = key(left), key(right)
+    # The tables hold a key and the corner's name; the descriptors follow only where these met.  Plain corners have common
+    # words, so each word's images are dealt by a salt, and the queries stand once for each salt.
+    a = left.select(F.explode(table_keys()).alias("key"), "id", "corner").select(F.explode(F.array(*[F.xxhash64("key", F.lit(s)) for s in range(SALTS)])).alias("key"), "id", F.col("corner").cast("short").alias("corner"))
+    salt = F.pmod(F.xxhash64("id", "corner"), F.lit(SALTS)).cast("int")
+    b = right.select(F.explode(table_keys()).alias("key"), "id", "corner").select(F.xxhash64("key", salt).alias("key"), "id", F.col("corner").cast("short").alias("corner"))
     met = a.select("key", F.col("id").alias("q"), F.col("corner").alias("qc")).join(b.select("key", F.col("id").alias("i"), F.col("corner").alias("ic")), "key").select("q", "qc", "i", "ic").distinct()
     x = left.select(F.col("id").alias("q"), F.col("corner").cast("short").alias("qc"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("scale").alias("qs"), F.col("words").alias("qw"))
     y = right.select(F.col("id").alias("i"), F.col("corner").cast("short").alias("ic"), F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("scale").alias("is"), F.col("words").alias("iw"))
@@ -169,14 +176,14 @@ def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS,
 
 
 def picture(vector: np.ndarray, size: int = 80) -> np.ndarray:
-    """A picture that depends on the vector alone: shaded, grained rectangles at places drawn from a generator seeded by its bytes."""
+    """A picture that depends on the vector alone: shaded rectangles at places drawn from a generator seeded by its bytes."""
     rng = np.random.default_rng(xxhash.xxh3_64_intdigest(np.asarray(vector, np.float32).tobytes()))
     a = np.full((size, size), 128, np.float32)
     for _ in range(22):
         y, x = rng.integers(0, size - 6, 2)
         h, w = rng.integers(6, 26, 2)
         a[y : y + h, x : x + w] = rng.integers(10, 245)
-    return a + _box(rng.normal(0, 40, (size, size)).astype(np.float32), 1)
+    return a
 
 
 def edited(a: np.ndarray, seed: int) -> np.ndarray:

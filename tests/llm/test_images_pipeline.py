@@ -33,6 +33,28 @@ def test_tables_find_all_near_descriptors(spark):
     assert len(xa) == len(da) and images.from_pgm(images.to_pgm(b)).shape == (80, 80)
 
 
+def test_table_keys_find_copies(spark):
+    """Descriptors within seven bits share a table key for certain, and at least nine in ten copies are found, as all pairs find them."""
+    rng = np.random.default_rng(3)
+    pics = [images.picture(rng.normal(size=8)) for _ in range(40)]
+    asks = [images.edited(p, i) for i, p in enumerate(pics)]
+    own = [images.descriptors(x.clip(0, 255).astype(np.uint8).astype(np.float32)) for x in (*pics, *asks)]
+    rows = [(n, c, int(s), d.tolist()) for n, (_, ss, dd) in enumerate(own) for c, (s, d) in enumerate(zip(ss, dd))]
+    df = spark.createDataFrame(rows, "n long, corner long, scale long, words array<long>")
+    keys = {(r.n, r.corner): set(r.k) for r in df.select("n", "corner", images.table_keys().alias("k")).collect()}
+    close = 0
+    for i in range(40):
+        (_, sa, da), (_, sb, db) = own[i], own[40 + i]
+        apart = np.bitwise_count(da[:, None] ^ db[None]).sum(2)
+        for a, b in np.argwhere((apart <= 7) & (sa[:, None] == sb[None])):
+            close += 1
+            assert keys[i, a] & keys[40 + i, b]
+    assert close > 100
+    kind = "id long, image binary"
+    got = images.find_copies(spark.createDataFrame([(i, images.to_pgm(p)) for i, p in enumerate(asks)], kind), spark.createDataFrame([(i, images.to_pgm(p)) for i, p in enumerate(pics)], kind)).toPandas()
+    assert (got.query_id == got.match_id).sum() >= 36
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_sql(spark, name):
