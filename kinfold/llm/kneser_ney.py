@@ -244,12 +244,13 @@ def perplexities(scratch: Scratch, stored: DataFrame, buckets: int, model: DataF
         return scratch.save(scored, "perplexities")
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, folds: int = 5, quantile: float = 0.99, slack: float = 1.0, shards: int | None = None):
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = 4, folds: int = 5, quantile: float = 0.99, slack: float = 0.05, shards: int | None = None):
     """Verdicts (blk, row, doc_id, lang, n, perplexity, bound, kept) for all rows of docs, with the stored blocks and buckets.
 
     trusted_ids: ids (column doc_id) of trusted documents.  The model is trained on all of them but one in ``folds`` (by a hash
     of the id); the ones left out are new to it as other documents are, and the ``quantile`` of their perplexities in a
-    language, times 1 + slack, is the language's bound.
+    language is the language's bound, times 1 + slack where they are too few to tell the quantile from their greatest (under
+    1 / (1 - quantile)).
     A document without text, or in a language without trusted text, has no perplexity and is kept; a null language is a
     language of its own.  Rows that share an id are judged each by its own text.  An empty table gives no rows.
     """
@@ -265,7 +266,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     model = train(scratch, B.join_blocks(stored, buckets, rows), columns, order)
     per = perplexities(scratch, stored, buckets, model, order, columns, shards)
     held = per.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(folds)) == 0).join(ids, "doc_id", "left_semi")
-    bound = held.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * (1 + slack)).alias("bound"))
+    margin = F.when(F.count("perplexity") * (1 - quantile) < 1, 1 + slack).otherwise(1.0)
+    bound = held.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("bound"))
     per = per.join(F.broadcast(bound), "lang", "left")  # a row for each language
     per = scratch.save(per.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("bound"), F.lit(True))), "verdicts")
     return per, stored, buckets

@@ -100,3 +100,14 @@ def test_quality_of_labelled_documents(spark):
     out = queries.op9_quality(spark, "/root/testdata/sf0.01").toPandas().merge(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas(), on="doc_id")
     assert out[out.quality == 1].kept.mean() >= 0.98
     assert out[out.quality == 0].kept.mean() <= 0.3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_quality_stage_drops_bad_documents(spark):
+    """The pipeline's stage against the labels: at most one bad document in ten stays."""
+    import corpus_pipeline as cp
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    after = cp.quality(spark, docs, "/root/testdata/sf0.01").join(labels, "doc_id").groupBy("quality").count().toPandas().set_index("quality")["count"]
+    before = docs.join(labels, "doc_id").groupBy("quality").count().toPandas().set_index("quality")["count"]
+    assert after[1] >= 0.98 * before[1] and after.get(0, 0) <= 0.1 * before[0]
