@@ -26,8 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest id stays."""
-    gone = near_duplicates.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    """Of each class of near copies (similarity of 0.8 or more) the document with the smallest id stays."""
+    gone = near_duplicates.near_duplicates(docs, percent=80, collections=9).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 

@@ -111,3 +111,16 @@ def test_quality_stage_drops_bad_documents(spark):
     after = cp.quality(spark, docs, "/root/testdata/sf0.01").join(labels, "doc_id").groupBy("quality").count().toPandas().set_index("quality")["count"]
     before = docs.join(labels, "doc_id").groupBy("quality").count().toPandas().set_index("quality")["count"]
     assert after[1] >= 0.98 * before[1] and after.get(0, 0) <= 0.1 * before[0]
+
+
+def test_near_dedup_stage_links_from_four_fifths(spark):
+    """Texts at similarity 0.82 are near copies for the stage, those at 0.77 are not."""
+    import corpus_pipeline as cp
+
+    words = [f"w{i}" for i in range(104)]
+    change = lambda n: " ".join(words[: 104 - n] + [f"x{i}" for i in range(n)])
+    rows = [(1, " ".join(words), "en", "s", 0), (2, change(10), "en", "s", 0)] + [(3, change(13), "de", "s", 0)]
+    docs = spark.createDataFrame(rows[:2], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in cp.near_dedup(spark, docs, SF).collect()] == [1]
+    apart = spark.createDataFrame([rows[0], rows[2]], docs.schema)
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, apart, SF).collect()) == [1, 3]
