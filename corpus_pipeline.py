@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of runs of two lines or more go; a document of which no word is left goes with them."""
-    out = line_runs.drop_repeated_runs(docs)
+    """Later copies of runs of two lines or more, and of single lines of 50 words or more, go; a document of which no word is left goes with them."""
+    out = line_runs.drop_repeated_runs(docs, long_words=50)
     out = out.where((F.col("__removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 

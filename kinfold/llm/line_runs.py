@@ -17,30 +17,32 @@ from pyspark.sql import DataFrame, functions as F
 from .common import Scratch, fresh
 
 
-def _ranked(scratch: Scratch, pairs: DataFrame, keys: list[str], level: int) -> DataFrame:
+def _ranked(scratch: Scratch, pairs: DataFrame, keys: list[str], level: int, more: tuple[str, ...] = ()) -> DataFrame:
     """Positions of the keys that occur more than once, with the key's place in sorted order and the first position that has it."""
     where = F.struct("doc_id", "th", "idx")
     # Map-side counts and minima; the global sort makes monotonically_increasing_id follow the order of the keys.
     seen = pairs.groupBy(*keys).agg(F.count("*").alias("c"), F.min(where).alias("first")).where("c > 1").drop("c")
     seen = scratch.save(seen.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), f"ranks{level}")
-    out = scratch.save(pairs.join(seen, keys).select("doc_id", "th", "idx", "rank", "first"), f"level{level}")
+    out = scratch.save(pairs.join(seen, keys).select("doc_id", "th", "idx", "rank", "first", *more), f"level{level}")
     scratch.drop(seen)
     return out
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_words: int | None = None) -> DataFrame:
     """(doc_id, th, idx, length, first): lines idx .. idx + length - 1 of a document, length a power of two, also stand at
-    ``first`` (doc_id, th, idx), which is earlier in the order of (doc_id, hash of the text, line).  min_lines is a power of two."""
+    ``first`` (doc_id, th, idx), which is earlier in the order of (doc_id, hash of the text, line).  min_lines is a power of two; with long_words,
+    single lines of at least so many words count as well."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
     scratch = Scratch(docs.sparkSession, "runs")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n", -1)).alias("idx", "line")).where("doc_id is not null")
-    now = d.select("doc_id", "th", "idx", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b")).distinct()
-    now = _ranked(scratch, now, ["a", "b"], 0)
+    long = F.lit(False) if long_words is None else F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= long_words
+    now = d.select("doc_id", "th", "idx", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), long.alias("long")).distinct()
+    now = _ranked(scratch, now, ["a", "b"], 0, ("long",))
     level, covers = 0, None
     while True:
-        if 1 << level >= min_lines:
-            later = now.where(F.struct("doc_id", "th", "idx") > F.col("first")).select("doc_id", "th", "idx", F.lit(1 << level).alias("length"), "first")
+        if 1 << level >= min_lines or (level == 0 and long_words is not None):
+            later = now.where("true" if 1 << level >= min_lines else "long").where(F.struct("doc_id", "th", "idx") > F.col("first")).select("doc_id", "th", "idx", F.lit(1 << level).alias("length"), "first")
             covers = later if covers is None else covers.union(later)
         right = now.select("doc_id", "th", (F.col("idx") - (1 << level)).alias("idx"), F.col("rank").alias("b"))
         pairs = now.select("doc_id", "th", "idx", F.col("rank").alias("a")).join(right, ["doc_id", "th", "idx"])
@@ -50,7 +52,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             return covers if covers is not None else now.select("doc_id", "th", "idx", F.lit(0).alias("length"), "first")
 
 
-def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2) -> DataFrame:
+def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, long_words: int | None = None) -> DataFrame:
     """All rows of ``docs`` with later copies of repeated line runs deleted from the text, and the columns __lines, __removed
     (lines) and __spans (array of (start line, lines) removed), which take the place of columns of these names.
 
@@ -58,7 +60,7 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an empty text is one empty line.  Rows that share id and text are one place: they don't delete one another.
     Ties go by the hash of the text.  A text whose lines all go becomes empty.
     """
-    covers = repeated_runs(docs, id_col, text_col, min_lines)
+    covers = repeated_runs(docs, id_col, text_col, min_lines, long_words)
     key, th, c, cut_ = fresh(docs, "__id", "__th", "__c", "__cut")
     spans = covers.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("idx", "length"))).alias(c)).select(F.col("doc_id").alias(key), F.col("th").alias(th), c)
     j = docs.join(spans, (F.col(id_col).cast("long") == F.col(key)) & (F.xxhash64(text_col) == F.col(th)), "left").drop(key, th)

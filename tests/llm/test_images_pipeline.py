@@ -124,3 +124,14 @@ def test_near_dedup_stage_links_from_four_fifths(spark):
     assert [r.doc_id for r in cp.near_dedup(spark, docs, SF).collect()] == [1]
     apart = spark.createDataFrame([rows[0], rows[2]], docs.schema)
     assert sorted(r.doc_id for r in cp.near_dedup(spark, apart, SF).collect()) == [1, 3]
+
+
+def test_line_dedup_stage_drops_long_single_lines(spark):
+    """A line of 50 words goes where it stands again between other neighbours; one of 49 words stays."""
+    import corpus_pipeline as cp
+
+    long, short = " ".join(f"w{i}" for i in range(50)), " ".join(f"v{i}" for i in range(49))
+    rows = [(1, f"a\n{long}\nb\n{short}\nc", "en", "s", 0), (2, f"d\n{long}\ne\n{short}\nf", "en", "s", 0), (3, long, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.line_dedup(spark, docs, SF).collect()}
+    assert got == {1: rows[0][1], 2: f"d\ne\n{short}\nf"}
