@@ -35,3 +35,7 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 25 or entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_registries_have_a_person_for_each_customer(spark):
+    assert plans.QUERIES["generated_names"](spark, SF).count() == plans.table(spark, SF, "customer").count()
