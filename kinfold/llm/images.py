@@ -1,40 +1,52 @@
-"""Local image descriptors that find cropped or edited copies.
+"""Local image descriptors that find cropped, resized, turned or edited copies.
 
-Corners are the strongest local maxima of the Harris response at several scales.  Each gets an orientation from the intensity
-centroid around it and 256 comparisons of smoothed pixel pairs, turned by that orientation.  Descriptors meet in Hamming tables
-keyed by one of eight 32-bit words (two descriptors that differ in at most seven bits share a word for certain), and are
-kept as matches at MAX_BITS differing bits or less.  Matches of two images vote for a shift at their common scale; an
-image is a copy if at least MIN_VOTES corners of the query agree.
+Corners are the strongest local maxima of the Harris response in each cell of a grid, at scales a factor of the square root of two apart, so
+their number follows the image's area.  Each gets an orientation from the intensity centroid around it and 256 comparisons
+of smoothed pixel pairs, turned by that orientation; a comparison counts only beyond a share of the patch's contrast, so
+noise in plain areas changes none.
+
+Two images meet in Hamming tables.  A corner alone says little (all corners of plain shapes look alike), so a key stands for a corner
+and two of its neighbours: some bits of the three descriptors and where the neighbours lie as the corner sees them.  Further
+bits of the three must agree but for SKETCH_BITS, which the join itself tests.  The queries carry the cost of whatever
+moves a key: borders of cells are probed on both sides, and a query is described at half a step of scale and a slight turn as
+well.  Image pairs with two such hits are candidates.  For these, all descriptors are compared, each hit proposes a similarity
+transform (scale, turn, shift), it is fitted to the matches that agree, and the places that agree are the votes.
 
 Images are binary columns in the portable graymap format (P5, 8 bits).
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
-
-from .common import Scratch
-
-SCALES = (1.0, 0.5)
-CORNERS = (28, 12)
-MAX_BITS = 48
-MIN_VOTES = 8
-SALTS = 8
-RADIUS = 7
+from pyspark.sql import DataFrame, functions as F
+
+from .common import Scratch, mix64
+
+#: Least side of a level of the pyramid, side of a grid cell (a corner each), edge without corners.
+LEAST_SIDE, CELL, EDGE = 22, 10, 4
+RADIUS, TURNS, MARGIN = 9, 72, 0.2
+#: Descriptors match at so many differing bits or less; a copy has so many votes, and this share of the query's places.
+MAX_BITS, MIN_VOTES, MIN_SHARE = 30, 8, 0.3
+#: Tables, bits of each descriptor in a key, neighbours of a corner (of the images, of the queries), least distance of a neighbour.
+TABLES, KEY_BITS, NEAR, NEAR_QUERY, APART = 2, 13, 3, 4, 5
+ANGLES, RATIO, BORDER, SKETCH_BITS = 10, 1.35, 0.2, 4
+#: The query is described as it is, and scaled and turned (degrees) so.
+VARIANTS = ((1.0, 0.0), (2**-0.25, 0.0), (1.0, 5.0), (2**-0.25, 20.0), (2**-0.125, 45.0))
+POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("size", "<f4"), ("turn", "<f4"), ("layer", "u1"), ("bits", "u1", 32)])
 _RNG = np.random.default_rng(5)
-_PAIRS = np.clip(_RNG.normal(0, 3.0, (256, 4)), -RADIUS + 1, RADIUS - 1)
+_PAIRS = np.clip(_RNG.normal(0, 3.6, (256, 4)), -RADIUS + 1, RADIUS - 1)
 _YY, _XX = np.mgrid[-RADIUS : RADIUS + 1, -RADIUS : RADIUS + 1]
 _DISC = (_YY**2 + _XX**2 <= RADIUS**2).astype(np.float32)
-_TURNS = 24
 
 
 def _turned() -> np.ndarray:
     out = []
-    for k in range(_TURNS):
-        c, s = np.cos(2 * np.pi * k / _TURNS), np.sin(2 * np.pi * k / _TURNS)
+    for k in range(TURNS):
+        c, s = np.cos(2 * np.pi * k / TURNS), np.sin(2 * np.pi * k / TURNS)
         y1, x1, y2, x2 = _PAIRS.T
         out.append(np.round(np.stack([s * x1 + c * y1, c * x1 - s * y1, s * x2 + c * y2, c * x2 - s * y2], 1)).astype(np.int64))
     return np.stack(out)
@@ -68,108 +80,252 @@ def _box(a: np.ndarray, r: int) -> np.ndarray:
     return ((c[k:, k:] - c[:-k, k:] - c[k:, :-k] + c[:-k, :-k]) / (k * k)).astype(np.float32)
 
 
-def descriptors(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y in full-size pixels; scale index; eight 32-bit words) of the image's corners."""
-    xs, ss, ds = [], [], []
-    for k, (scale, most) in enumerate(zip(SCALES, CORNERS)):
-        a = image
-        if scale == 0.5:
-            h, w = a.shape[0] // 2 * 2, a.shape[1] // 2 * 2
-            a = (a[0:h:2, 0:w:2] + a[1:h:2, 0:w:2] + a[0:h:2, 1:w:2] + a[1:h:2, 1:w:2]) / 4
-        edge = RADIUS + 2
-        if min(a.shape) < 2 * edge + 1:
-            continue
-        a = _box(a, 1)
-        gy, gx = np.gradient(a)
-        xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
-        r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
-        high = np.full(r.shape, -np.inf, np.float32)
-        core = r[1:-1, 1:-1]
-        around = np.max([r[1 + dy : r.shape[0] - 1 + dy, 1 + dx : r.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx], axis=0)
-        high[1:-1, 1:-1] = np.where((core > around) & (core > 1.0), core, -np.inf)
-        high[:edge], high[-edge:], high[:, :edge], high[:, -edge:] = -np.inf, -np.inf, -np.inf, -np.inf
-        flat = np.argsort(-high, axis=None, kind="stable")[:most]
-        flat = flat[np.isfinite(high.ravel()[flat])]
-        if not len(flat):
+def _at(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Values between pixels; beyond the border the border's."""
+    y, x = np.clip(y, 0, a.shape[0] - 1.001), np.clip(x, 0, a.shape[1] - 1.001)
+    j, i = y.astype(np.int64), x.astype(np.int64)
+    v, u = (y - j).astype(np.float32), (x - i).astype(np.float32)
+    return (a[j, i] * (1 - v) + a[j + 1, i] * v) * (1 - u) + (a[j, i + 1] * (1 - v) + a[j + 1, i + 1] * v) * u
+
+
+def resized(a: np.ndarray, scale: float) -> np.ndarray:
+    h, w = max(2, round(a.shape[0] * scale)), max(2, round(a.shape[1] * scale))
+    soft = _box(a, max(1, round(0.5 / scale))) if scale < 1 else a
+    return _at(soft, ((np.arange(h) + 0.5) / scale - 0.5)[:, None] + np.zeros(w), ((np.arange(w) + 0.5) / scale - 0.5)[None] + np.zeros((h, 1)))
+
+
+def turned(a: np.ndarray, degrees: float) -> np.ndarray:
+    """Turned about its middle, in the same frame."""
+    t, (h, w) = np.deg2rad(degrees), a.shape
+    y, x = np.mgrid[0:h, 0:w] - np.array([(h - 1) / 2, (w - 1) / 2])[:, None, None]
+    return _at(a, np.cos(t) * y - np.sin(t) * x + (h - 1) / 2, np.sin(t) * y + np.cos(t) * x + (w - 1) / 2)
+
+
+def _corners(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(y, x) of the strongest local maximum of the Harris response in each cell."""
+    gy, gx = np.gradient(a)
+    xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+    r = xx * yy - xy * xy - 0.05 * (xx + yy) ** 2
+    core = r[1:-1, 1:-1]
+    around = np.max([r[1 + dy : r.shape[0] - 1 + dy, 1 + dx : r.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx], axis=0)
+    high = np.zeros(r.shape, bool)
+    high[1:-1, 1:-1] = (core > around) & (core > 10.0)
+    high[:EDGE], high[-EDGE:], high[:, :EDGE], high[:, -EDGE:] = False, False, False, False
+    y, x = np.nonzero(high)
+    cell = (y // CELL) * (a.shape[1] // CELL + 1) + x // CELL
+    by = np.lexsort((-r[y, x], cell))
+    first = np.ones(len(by), bool)
+    first[1:] = cell[by][1:] != cell[by][:-1]
+    return y[by[first]], x[by[first]]
+
+
+def points(image: np.ndarray, variant: int = 0) -> np.ndarray:
+    """The corners (POINT) of a variant of the image: place, size and turn in the image's own frame; layer: variant and level."""
+    scale, degrees = VARIANTS[variant]
+    whole = resized(image, scale) if scale != 1 else turned(image, degrees) if degrees else image
+    whole, out, level = _box(whole, 1), [], 0
+    while min(whole.shape) * 2 ** (-level / 2) >= LEAST_SIDE and level < 32:
+        f = 2 ** (-level / 2)
+        a = resized(whole, f) if level else whole
+        y, x = _corners(a)
+        if len(y):
+            p = np.pad(a, RADIUS + 1, mode="edge")
+            py, px = y + RADIUS + 1, x + RADIUS + 1
+            patch = p[py[:, None, None] + _YY, px[:, None, None] + _XX]
+            off = (patch - (patch * _DISC).sum((1, 2), keepdims=True) / _DISC.sum()) * _DISC
+            contrast = np.sqrt((off**2).sum((1, 2)) / _DISC.sum())
+            turn = np.arctan2((off * _YY).sum((1, 2)), (off * _XX).sum((1, 2)))
+            q, soft = _PATTERN[np.round(turn / (2 * np.pi) * TURNS).astype(np.int64) % TURNS], _box(p, 1)
+            more = soft[py[:, None] + q[:, :, 2], px[:, None] + q[:, :, 3]] - soft[py[:, None] + q[:, :, 0], px[:, None] + q[:, :, 1]]
+            got = np.empty(len(y), POINT)
+            z = ((x + 0.5) + 1j * (y + 0.5)) / (f * scale)
+            if degrees:  # back into the image's own frame
+                mid = (image.shape[1] + 1j * image.shape[0]) / 2
+                z, turn = (z - mid) * np.exp(1j * np.deg2rad(degrees)) + mid, turn + np.deg2rad(degrees)
+            got["x"], got["y"], got["size"], got["turn"], got["layer"] = z.real, z.imag, f * scale, turn, variant * 32 + level
+            got["bits"] = np.packbits(more > MARGIN * contrast[:, None], axis=1)
+            out.append(got)
+        level += 1
+    return np.concatenate(out) if out else np.empty(0, POINT)
+
+
+def keys(p: np.ndarray, query: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, sketch, corner) of the tables: one for each corner, pair of its neighbours and table, with ``query`` at both sides of close borders."""
+    out = []
+    words = np.ascontiguousarray(p["bits"]).view(">u8").astype(np.uint64).reshape(len(p), 4)
+    place = (p["x"] + 1j * p["y"]) * p["size"]
+    for layer in np.unique(p["layer"]):
+        m = np.flatnonzero(p["layer"] == layer)
+        near = NEAR_QUERY if query else NEAR
+        if len(m) < 3:
             continue
-        y, x = np.divmod(flat, a.shape[1])
-        patch = a[y[:, None, None] + _YY, x[:, None, None] + _XX] * _DISC
-        turn = np.round(np.arctan2((patch * _YY).sum((1, 2)), (patch * _XX).sum((1, 2))) / (2 * np.pi) * _TURNS).astype(np.int64) % _TURNS
-        p = _PATTERN[turn]
-        soft = _box(a, 1)
-        bits = soft[y[:, None] + p[:, :, 0], x[:, None] + p[:, :, 1]] < soft[y[:, None] + p[:, :, 2], x[:, None] + p[:, :, 3]]
-        ds.append(np.packbits(bits, axis=1).view(">u4").astype(np.int64))
-        xs.append(np.stack([x, y], 1) / scale)
-        ss.append(np.full(len(x), k))
-    if not xs:
-        return np.empty((0, 2)), np.empty(0, np.int64), np.empty((0, 8), np.int64)
-    return np.concatenate(xs), np.concatenate(ss), np.concatenate(ds)
-
-
-def describe(images: DataFrame) -> DataFrame:
-    """(id, corner, x, y, scale, d0..d3): one row per corner of the distinct images (id long, image binary)."""
+        z, t = place[m], p["turn"][m]
+        rows = []
+        for lo in range(0, len(m), 1024):  # large images have many corners
+            d = np.abs(z[lo : lo + 1024, None] - z[None])
+            d[d < APART] = np.inf
+            nn = np.argpartition(d, min(near, len(m) - 1), axis=1)[:, : near + 1]
+            far = np.take_along_axis(d, nn, 1)
+            by = np.lexsort((nn, far), axis=1)[:, :near]
+            rows.append(np.where(np.isfinite(np.take_along_axis(far, by, 1)), np.take_along_axis(nn, by, 1), -1))
+        nn = np.concatenate(rows)
+        for r1, r2 in itertools.combinations(range(nn.shape[1]), 2):
+            a = np.flatnonzero((nn[:, r1] >= 0) & (nn[:, r2] >= 0))
+            if not len(a):
+                continue
+            b, c = nn[a, r1], nn[a, r2]
+            vb, vc = ((z[x] - z[a]) * np.exp(-1j * t[a]) for x in (b, c))
+            swap = np.angle(vb) > np.angle(vc)
+            b, c, vb, vc = np.where(swap, c, b), np.where(swap, b, c), np.where(swap, vc, vb), np.where(swap, vb, vc)
+            where = [np.log(np.abs(vb)) / np.log(RATIO), np.log(np.abs(vc)) / np.log(RATIO), np.angle(vb) / (2 * np.pi) * ANGLES, np.angle(vc) / (2 * np.pi) * ANGLES]
+            sketch = np.zeros(len(a), np.uint64)
+            for x in (a, b, c):
+                sketch = (sketch << np.uint64(21)) | (words[m[x], 3] >> np.uint64(43))
+            for k in range(TABLES):
+                code = np.full(len(a), k, np.uint64)
+                for x in (a, b, c):
+                    code = (code << np.uint64(KEY_BITS)) | ((words[m[x], k // 4] >> np.uint64(64 - KEY_BITS * (k % 4 + 1))) & np.uint64((1 << KEY_BITS) - 1))
+                for side in itertools.product((-BORDER, BORDER), repeat=4) if query else ((0, 0, 0, 0),):
+                    cells = [np.floor(g + s).astype(np.int64) % (ANGLES if i > 1 else 64) for i, (g, s) in enumerate(zip(where, side))]
+                    cell = sum(np.uint64(64**i) * g.astype(np.uint64) for i, g in enumerate(cells))
+                    out.append((mix64(code ^ mix64(cell)), sketch, m[a]))
+    if not out:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    key, sketch, corner = map(np.concatenate, zip(*out))
+    if query:  # both sides of a border that is not close are one
+        _, first = np.unique(key ^ mix64(sketch ^ mix64(corner.astype(np.uint64))), return_index=True)
+        key, sketch, corner = key[first], sketch[first], corner[first]
+    return key, sketch, corner
+
+
+def votes(q: np.ndarray, p: np.ndarray, hits: np.ndarray, max_bits: int = MAX_BITS, reach: float = 3.0) -> int:
+    """Places of the query q that lie, under one similarity transform, where matching corners of p are.  hits: pairs (corner of q,
+    corner of p) that propose a transform each."""
+    if not len(q) or not len(p):
+        return 0
+    i, j = _matches(q, p, max_bits)
+    z, w = (x["x"].astype(np.float64) + 1j * x["y"] for x in (q, p))
+    turn, size = p["turn"][j].astype(np.float64) - q["turn"][i], q["size"][i].astype(np.float64) / p["size"][j]
+    zi, wj, best = z[i], w[j], 0
+    for a, b in hits:
+        t, s = float(p["turn"][b]) - float(q["turn"][a]), float(q["size"][a]) / float(p["size"][b])
+        along = (np.abs(np.angle(np.exp(1j * (turn - t)))) < 0.5) & (np.abs(np.log(size / s)) < 0.4)
+        ok = along & (np.abs(s * np.exp(1j * t) * (zi - z[a]) + w[b] - wj) < reach + 0.2 * s * np.abs(zi - z[a]))
+        for _ in range(3):
+            if ok.sum() < 3:
+                break
+            zm, wm = zi[ok].mean(), wj[ok].mean()
+            spread = (np.abs(zi[ok] - zm) ** 2).sum()
+            if spread < 1:
+                ok = np.zeros_like(ok)
+                break
+            m = ((zi[ok] - zm).conj() * (wj[ok] - wm)).sum() / spread
+            ok = (np.abs(np.angle(np.exp(1j * (turn - np.angle(m))))) < 0.5) & (np.abs(m * (zi - zm) + wm - wj) < reach * max(1.0, abs(m)))
+        if ok.sum() >= 3:
+            best = max(best, min(_places(zi[ok]), _places(wj[ok])))
+    return best
+
+
+def _matches(q: np.ndarray, p: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    a, b = (np.ascontiguousarray(x["bits"]).view(np.uint64).reshape(len(x), 4) for x in (q, p))
+    found = []
+    for lo in range(0, len(a), 256):
+        apart = sum(np.bitwise_count(a[lo : lo + 256, None, k] ^ b[None, :, k]).astype(np.int16) for k in range(4))
+        i, j = np.nonzero(apart <= max_bits)
+        found.append((i + lo, j))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
+
+def _places(z: np.ndarray) -> int:
+    return len(np.unique(np.round(z / 4)))
+
+
+def needed(q: np.ndarray, min_votes: int = MIN_VOTES, min_share: float = MIN_SHARE) -> float:
+    own = q[q["layer"] < 32]
+    return max(min_votes, min_share * _places(own["x"] + 1j * own["y"]))
+
+
+def describe(images: DataFrame, variants: int = 1) -> DataFrame:
+    """(id, h, points) of images (id long, image binary): a 128-bit hash of the bytes and the corners of the first variants.  Null and
+    malformed images and null ids are left out.  The images themselves go no further."""
 
     def run(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            ids, hs, out = [], [], []
             for i, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                image = from_pgm(data.as_py())
-                if image is None:
-                    continue
-                xy, s, d = descriptors(image)
-                cols[0] += [i] * len(s)
-                cols[1] += range(len(s))
-                cols[2] += xy[:, 0].tolist()
-                cols[3] += xy[:, 1].tolist()
-                cols[4] += s.tolist()
-                cols[5] += d.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int64())))], ["id", "corner", "x", "y", "scale", "words"])
+                data = data.as_py()
+                image = from_pgm(data) if i is not None else None
+                if image is not None:
+                    ids.append(i)
+                    hs.append(xxhash.xxh3_128_digest(data))
+                    out.append(np.concatenate([points(image, v) for v in range(variants)]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.binary()), pa.array(out, pa.binary())], ["id", "h", "points"])
 
-    return images.mapInArrow(run, "id long, corner long, x double, y double, scale long, words array<long>")
+    return images.mapInArrow(run, "id long, h binary, points binary")
 
 
-def distinct_images(images: DataFrame) -> DataFrame:
-    """(id, image, copies): equal images collapse to the smallest id before any work is done on them.  Nulls are left out."""
-    return images.where("image is not null and id is not null").groupBy(F.xxhash64("image").alias("h"), F.xxhash64("image", F.lit(1)).alias("h2")).agg(F.min("id").alias("id"), F.first("image").alias("image"), F.count("*").alias("copies"))
+def distinct_images(described: DataFrame) -> DataFrame:
+    """(n, h, id, copies, points): equal images collapse, before they are shuffled, to the smallest id; n is a number of their own."""
+    d = described.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("points").alias("points"))
+    return d.select(F.monotonically_increasing_id().alias("n"), "h", "id", "copies", "points")
 
 
-def table_keys() -> Column:
-    """One key for each of the eight words of a descriptor (columns words and scale): a hash of place, word and scale."""
-    return F.array(*[F.xxhash64(F.lit(k), F.element_at("words", k + 1), "scale") for k in range(8)])
+def table_rows(images: DataFrame, query: bool) -> DataFrame:
+    """(key, sketch, n, corner) of the Hamming tables, see keys."""
 
+    def run(batches):
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                key, sketch, corner = keys(np.frombuffer(blob.as_py(), POINT), query)
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sketch.view(np.int64)), pa.array(np.full(len(key), n, np.int64)), pa.array(corner.astype(np.int32))], ["key", "sketch", "n", "corner"])
 
-def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS, min_votes: int = MIN_VOTES) -> DataFrame:
-    """(query_id, match_id, votes, copies): for each query (id, image) the different images of which it is a cropped or edited copy;
-    match_id is the smallest id of the ``copies`` rows that hold the image.
+    return images.select("n", "points").mapInArrow(run, "key long, sketch long, n long, corner int")
 
-    Null, malformed and cornerless images match nothing.  Equal queries are searched once and answered each.  Rows with one id
-    and several images count with each.  Empty tables give no rows.
+
+def candidates(asks: DataFrame, base: DataFrame) -> DataFrame:
+    """(q, n, hits): image pairs that meet in the tables at two corners of the query at least, with the corners that met.
+
+    A frequent key has no limit: the sort-merge join's large partitions are split at run time, and the test of the sketches is
+    part of the join."""
+    a = table_rows(asks, True).select("key", F.col("sketch").alias("qs"), F.col("n").alias("q"), F.col("corner").alias("a"))
+    b = table_rows(base, False).select("key", F.col("sketch").alias("bs"), "n", F.col("corner").alias("b"))
+    met = a.hint("merge").join(b, (a.key == b.key) & (F.bit_count(F.col("qs").bitwiseXOR(F.col("bs"))) <= SKETCH_BITS))
+    hits = met.groupBy("q", "n").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
+    return hits.where(F.size(F.array_distinct(F.transform("hits", lambda x: x["a"]))) >= 2)
+
+
+def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS, min_votes: int = MIN_VOTES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(query_id, match_id, votes, copies): for each query (id, image) the different images of which it is a cropped, resized, turned or
+    edited copy; match_id is the smallest id of the ``copies`` rows that hold the image.  A copy has at least min_votes places, and
+    min_share of the query's places, in common.
+
+    Null, malformed and cornerless images match nothing.  Equal queries are searched once and answered each; equal images are
+    one, so ties between them go to the smallest id.  Rows with one id and several images count with each.  Empty tables give no
+    rows.  Further columns are ignored, whatever their names.  A large image has corners in proportion to its area; one row holds
+    them all, so images are limited by a task's memory only.
     """
     scratch = Scratch(images.sparkSession, "images")
-    images, queries = images.select("id", "image"), queries.select("id", "image")
-    base = scratch.save(distinct_images(images), "images")
-    asks = scratch.save(distinct_images(queries), "queries")
-    left = scratch.save(describe(asks.select("id", "image")), "asked")
-    right = scratch.save(describe(base.select("id", "image")), "described")
-    # The tables hold a key and the corner's name; the descriptors follow only where these met.  Plain corners have common
-    # words, so each word's images are dealt by a salt, and the queries stand once for each salt.
-    a = left.select(F.explode(table_keys()).alias("key"), "id", "corner").select(F.explode(F.array(*[F.xxhash64("key", F.lit(s)) for s in range(SALTS)])).alias("key"), "id", F.col("corner").cast("short").alias("corner"))
-    salt = F.pmod(F.xxhash64("id", "corner"), F.lit(SALTS)).cast("int")
-    b = right.select(F.explode(table_keys()).alias("key"), "id", "corner").select(F.xxhash64("key", salt).alias("key"), "id", F.col("corner").cast("short").alias("corner"))
-    met = a.select("key", F.col("id").alias("q"), F.col("corner").alias("qc")).join(b.select("key", F.col("id").alias("i"), F.col("corner").alias("ic")), "key").select("q", "qc", "i", "ic").distinct()
-    x = left.select(F.col("id").alias("q"), F.col("corner").cast("short").alias("qc"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("scale").alias("qs"), F.col("words").alias("qw"))
-    y = right.select(F.col("id").alias("i"), F.col("corner").cast("short").alias("ic"), F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("scale").alias("is"), F.col("words").alias("iw"))
-    apart = sum(F.bit_count(F.element_at("qw", k).bitwiseXOR(F.element_at("iw", k))) for k in range(1, 9))
-    m = met.join(x, ["q", "qc"]).join(y, ["i", "ic"]).where((F.col("qs") == F.col("is")) & (apart <= max_bits))
-    m = m.select("q", "qc", "i", (F.col("ix") - F.col("qx")).alias("dx"), (F.col("iy") - F.col("qy")).alias("dy"))
-    # Shifts fall in overlapping cells of 8 pixels, so that agreeing ones share a cell.
-    cell = lambda c: F.array(F.floor(F.col(c) / 8), F.floor((F.col(c) + 4) / 8) + 1_000_000)
-    v = m.select("q", "qc", "i", F.explode(cell("dx")).alias("cx"), "dy").select("q", "qc", "i", "cx", F.explode(cell("dy")).alias("cy"))
-    found = v.groupBy("q", "i", "cx", "cy").agg(F.countDistinct("qc").alias("n")).groupBy("q", "i").agg(F.max("n").alias("votes")).where(F.col("votes") >= min_votes)
-    found = found.join(base.select(F.col("id").alias("i"), "copies"), "i")
-    who = queries.where("image is not null and id is not null").select(F.col("id").alias("query_id"), F.xxhash64("image").alias("h"), F.xxhash64("image", F.lit(1)).alias("h2"))
-    who = who.join(asks.select("h", "h2", F.col("id").alias("q")), ["h", "h2"])
-    return who.join(found, "q").select("query_id", F.col("i").alias("match_id"), "votes", "copies")
+    asked = scratch.save(describe(queries.select("id", "image"), len(VARIANTS)), "asked")
+    asks = scratch.save(distinct_images(asked), "queries")
+    base = scratch.save(distinct_images(describe(images.select("id", "image"))), "images")
+    hits = scratch.save(candidates(asks, base), "hits")
+
+    def judge(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for h, qp, pairs, i, copies, bp in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+                q = np.frombuffer(qp.as_py(), POINT)
+                n = votes(q, np.frombuffer(bp.as_py(), POINT), sorted((x["a"], x["b"]) for x in pairs), max_bits)
+                if n >= needed(q, min_votes, min_share):
+                    for col, x in zip(out, (h, i, n, copies)):
+                        col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()))], ["h", "match_id", "votes", "copies"])
+
+    x = asks.select(F.col("n").alias("q"), "h", F.col("points").alias("qp"))
+    y = base.select("n", F.col("id").alias("match_id"), "copies", F.col("points").alias("bp"))
+    found = hits.join(x.hint("merge"), "q").join(y.hint("merge"), "n").select("h", "qp", "hits", "match_id", "copies", "bp").mapInArrow(judge, "h binary, match_id long, votes long, copies long")
+    return asked.select(F.col("id").alias("query_id"), "h").join(found, "h").select("query_id", "match_id", "votes", "copies")
 
 
 # ---- pictures of vectors ---------------------------------------------------------------------------------------
@@ -187,12 +343,18 @@ def picture(vector: np.ndarray, size: int = 80) -> np.ndarray:
 
 
 def edited(a: np.ndarray, seed: int) -> np.ndarray:
-    """A crop of about three quarters of each side, with other contrast, brightness and some noise."""
+    """A copy with other contrast, brightness and some noise: half of the seeds give a crop of four fifths of each side, a quarter the
+    picture turned by any angle, a quarter a crop of nine tenths resized by 0.75 to 1.4."""
     rng = np.random.default_rng(seed)
-    h, w = a.shape
-    ch, cw = int(h * 0.8), int(w * 0.8)
-    y, x = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
-    return a[y : y + ch, x : x + cw] * rng.uniform(0.8, 1.0) + rng.uniform(0, 20) + rng.normal(0, 1.0, (ch, cw))
+    kind = (seed // 50 + seed) % 4
+    if kind != 2:
+        h, w = a.shape
+        share = 0.9 if kind == 3 else 0.8
+        ch, cw = int(h * share), int(w * share)
+        y, x = rng.integers(0, h - ch + 1), rng.integers(0, w - cw + 1)
+        a = a[y : y + ch, x : x + cw]
+    a = turned(a, rng.uniform(-180, 180)) if kind == 2 else resized(a, rng.uniform(0.75, 1.4)) if kind == 3 else a
+    return a * rng.uniform(0.8, 1.0) + rng.uniform(0, 20) + rng.normal(0, 1.0, a.shape)
 
 
 def pictures(vectors: DataFrame, change: bool = False) -> DataFrame:

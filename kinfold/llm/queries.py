@@ -37,6 +37,8 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .images import find_copies, pictures
 
     rows = table(spark, sf_dir, "embeddings").where("vec_id is not null").select("vec_id", "embedding")
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # drawing costs far more than moving the vectors
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
     return find_copies(pictures(rows.where("vec_id % 50 = 0"), change=True), pictures(rows))
 
 

@@ -8,51 +8,66 @@ from kinfold.llm import images, queries
 SF = "/root/testdata/sf0.001"
 
 
+KIND = "id long, image binary"
+
+
 def test_copies(spark):
     rng = np.random.default_rng(9)
     pics = {i: images.picture(rng.normal(size=8)) for i in range(60)}
     flat = np.full((80, 80), 90.0)
     rows = [(i, images.to_pgm(p)) for i, p in pics.items()] + [(100, images.to_pgm(pics[7])), (101, None), (102, b"no image"), (103, images.to_pgm(flat)), (None, images.to_pgm(flat)), (104, images.to_pgm(np.zeros((3, 3))))]
-    asks = [(i, images.to_pgm(images.edited(pics[i], i))) for i in (3, 7, 20, 41)] + [(90, images.to_pgm(flat)), (91, None), (92, images.to_pgm(images.picture(rng.normal(size=8))))]
-    kind = "id long, image binary"
-    got = {(r.query_id, r.match_id): r for r in images.find_copies(spark.createDataFrame(asks, kind), spark.createDataFrame(rows, kind)).collect()}
-    assert set(got) == {(i, i) for i in (3, 7, 20, 41)}
-    assert got[7, 7].copies == 2
-    empty = spark.createDataFrame([], kind)
+    own = [4, 7, 20, 40]  # seeds of crops
+    asks = [(i, images.to_pgm(images.edited(pics[i], i))) for i in own] + [(90, images.to_pgm(flat)), (91, None), (92, images.to_pgm(images.picture(rng.normal(size=8)))), (93, images.to_pgm(images.edited(pics[7], 7)))]
+    extra = spark.createDataFrame([(*r, 1, b"x") for r in rows], KIND + ", h int, points binary")
+    got = {(r.query_id, r.match_id): r for r in images.find_copies(spark.createDataFrame(asks, KIND), extra).collect()}
+    assert {(i, i) for i in own} | {(93, 7)} == set(got)
+    assert got[7, 7].copies == 2 and got[7, 7].votes == got[93, 7].votes
+    empty = spark.createDataFrame([], KIND)
     assert images.find_copies(empty, empty).count() == 0
 
 
-def test_tables_find_all_near_descriptors(spark):
-    """Matches of the tables against all pairs of descriptors: recall of those within three bits is whole."""
+def test_corners_follow_the_area():
+    rng = np.random.default_rng(2)
+    small, large = images.picture(rng.normal(size=8)), images.picture(rng.normal(size=8), 320)
+    large[::16] = 250 * rng.random(320)
+    assert len(images.points(np.tile(small, (3, 3)))) > 6 * len(images.points(small)) > 200
+    assert len(images.points(np.zeros((4, 4), np.float32))) == 0 and images.from_pgm(images.to_pgm(large)).shape == (320, 320)
+
+
+def test_matches_are_all_near_descriptors():
+    """Descriptors of candidates are compared all with all: recall of descriptor pairs within MAX_BITS is whole."""
     rng = np.random.default_rng(1)
-    a, b = images.picture(rng.normal(size=8)), images.picture(rng.normal(size=8))
-    xa, _, da = images.descriptors(a)
-    _, _, db = images.descriptors(images.edited(a, 1))
-    close = [(i, j) for i in range(len(da)) for j in range(len(db)) if sum(bin(int(x ^ y)).count("1") for x, y in zip(da[i], db[j])) <= 3]
-    assert close and all((da[i] == db[j]).reshape(4, 2).all(1).any() for i, j in close)
-    assert len(xa) == len(da) and images.from_pgm(images.to_pgm(b)).shape == (80, 80)
+    a = images.picture(rng.normal(size=8))
+    x, y = images.points(a), images.points(images.edited(a, 1))
+    want = {(i, j) for i in range(len(x)) for j in range(len(y)) if sum(int(u ^ v).bit_count() for u, v in zip(x["bits"][i], y["bits"][j])) <= images.MAX_BITS}
+    assert want and {(int(i), int(j)) for i, j in zip(*images._matches(x, y, images.MAX_BITS))} == want
 
 
-def test_table_keys_find_copies(spark):
-    """Descriptors within seven bits share a table key for certain, and at least nine in ten copies are found, as all pairs find them."""
+def test_recall_against_all_pairs(spark):
+    """Copies that the tables find, by kind of edit, against a search that compares all images and lets every match propose."""
     rng = np.random.default_rng(3)
-    pics = [images.picture(rng.normal(size=8)) for _ in range(40)]
-    asks = [images.edited(p, i) for i, p in enumerate(pics)]
-    own = [images.descriptors(x.clip(0, 255).astype(np.uint8).astype(np.float32)) for x in (*pics, *asks)]
-    rows = [(n, c, int(s), d.tolist()) for n, (_, ss, dd) in enumerate(own) for c, (s, d) in enumerate(zip(ss, dd))]
-    df = spark.createDataFrame(rows, "n long, corner long, scale long, words array<long>")
-    keys = {(r.n, r.corner): set(r.k) for r in df.select("n", "corner", images.table_keys().alias("k")).collect()}
-    close = 0
-    for i in range(40):
-        (_, sa, da), (_, sb, db) = own[i], own[40 + i]
-        apart = np.bitwise_count(da[:, None] ^ db[None]).sum(2)
-        for a, b in np.argwhere((apart <= 7) & (sa[:, None] == sb[None])):
-            close += 1
-            assert keys[i, a] & keys[40 + i, b]
-    assert close > 100
-    kind = "id long, image binary"
-    got = images.find_copies(spark.createDataFrame([(i, images.to_pgm(p)) for i, p in enumerate(asks)], kind), spark.createDataFrame([(i, images.to_pgm(p)) for i, p in enumerate(pics)], kind)).toPandas()
-    assert (got.query_id == got.match_id).sum() >= 36
+    q8 = lambda a: np.clip(a, 0, 255).astype(np.uint8).astype(np.float32)
+    pics = [images.picture(rng.normal(size=8)) for _ in range(48)]
+    large = images.picture(rng.normal(size=8), 80)
+    wide = np.concatenate([np.concatenate([images.picture(rng.normal(size=8)) for _ in range(3)], 1) for _ in range(3)])
+    asks = {i: images.edited(p, i) for i, p in enumerate(pics)}
+    asks |= {100 + i: images.turned(p, 17.0 * i) for i, p in enumerate(pics[:12])}  # turns
+    asks |= {200 + i: images.resized(p, 0.8 + 0.05 * i) for i, p in enumerate(pics[:12])}  # sizes
+    asks |= {300: wide[70:170, 60:160], 301: images.resized(wide, 0.5), 302: large}  # a small crop of a large picture, half its size, a stranger
+    rows = [(i, images.to_pgm(p)) for i, p in enumerate(pics)] + [(900, images.to_pgm(wide))]
+    got = images.find_copies(spark.createDataFrame([(i, images.to_pgm(a)) for i, a in asks.items()], KIND), spark.createDataFrame(rows, KIND)).collect()
+    found = {r.query_id for r in got if r.match_id == (900 if r.query_id in (300, 301) else r.query_id % 100)}
+    whole, strange = set(), 0
+    known = {i: images.points(q8(images.from_pgm(x))) for i, x in rows}
+    for i, a in asks.items():
+        if i == 302:
+            continue
+        q, p = np.concatenate([images.points(q8(a), v) for v in range(len(images.VARIANTS))]), known[900 if i in (300, 301) else i % 100]
+        x, y = images._matches(q, p, images.MAX_BITS)
+        if images.votes(q, p, list(zip(x, y))[::3]) >= images.needed(q):
+            whole.add(i)
+    strange = sum(r.match_id != (900 if r.query_id in (300, 301) else r.query_id % 100) for r in got)
+    assert len(whole) >= 0.95 * (len(asks) - 1) and len(found & whole) >= 0.9 * len(whole) and {300, 301} <= found and strange <= 3
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
