@@ -92,21 +92,34 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_packing, op3_near_duplic
 #: Equivalents for DuckDB where SQL can state the operator; tests/llm holds the others against brute force.
 ORACLE: dict[str, str] = {
     "op7_unit_dedup": r"""
-with l as (
-    select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i
-    from documents where doc_id is not null and text is not null
+with t as (
+    select doc_id, text, length(text) - length(ltrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as lead, regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') as toks
+    from documents where doc_id is not null
+), w as (
+    select doc_id, lead, unnest(toks) as tok, generate_subscripts(toks, 1) as i from t
+), e as (
+    select *, regexp_extract(tok, '^[^\x20\x09-\x0D]+') as word, regexp_extract(tok, '[\x20\x09-\x0D]*$') as white from w
 ), n as (
-    select *, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) as unit,
-        coalesce(sum(length(line) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start
-    from l
+    select *, coalesce(sum(cast(contains(white, chr(10)) or white <> '' and regexp_matches(word, '[.!?]$') as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as u,
+        lead + coalesce(sum(length(tok)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as start
+    from e
+), g as (
+    select doc_id, u, string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' order by i) as unit, count(*) as words, min(start)::bigint as start,
+        string_agg(tok, '' order by i) as raw, arg_max(white, i) as white
+    from n group by doc_id, u
 ), f as (
-    select unit, min({'d': doc_id, 'i': i}) as first from n where len(string_split(unit, ' ')) >= 5 group by unit
+    select unit, min({'d': doc_id, 'u': u}) as first from g where words >= 8 group by unit
 ), k as (
-    select n.*, coalesce({'d': n.doc_id, 'i': n.i} > f.first, false) as gone from n left join f on n.unit = f.unit
+    select g.*, coalesce({'d': g.doc_id, 'u': g.u} > f.first, false) as gone, lag(white) over (partition by doc_id order by u) as before from g left join f on g.unit = f.unit
+), m as (
+    select *, row_number() over (partition by doc_id, gone order by u) as r from k
+), o as (
+    select doc_id, count(*) as n_units, count(*) filter (gone) as n_removed, coalesce(min(start) filter (gone), -1) as first_removed,
+        coalesce(string_agg(case when r = 1 then '' else before end || left(raw, length(raw) - length(white)), '' order by u) filter (not gone), '') as text
+    from m group by doc_id
 )
-select doc_id, count(*) as n_units, count(*) filter (gone) as n_removed, coalesce(min(start) filter (gone), -1) as first_removed,
-    coalesce(string_agg(line, chr(10) order by i) filter (not gone), '') as text
-from k group by doc_id""",
+select t.doc_id, coalesce(n_units, 0) as n_units, coalesce(n_removed, 0) as n_removed, coalesce(first_removed, -1) as first_removed, case when n_removed > 0 then o.text else t.text end as text
+from t left join o on t.doc_id = o.doc_id""",
     "op8_line_dedup": """
 with l as (
     select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i

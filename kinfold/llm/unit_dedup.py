@@ -1,8 +1,14 @@
-"""Exact deduplication of lines (or paragraphs): normalised units are hashed, digests grouped over the whole corpus, and only the
-earliest occurrence of each stays."""
+"""Exact deduplication of paragraphs, lines or sentences: normalised units are hashed, digests grouped over the whole corpus, and only
+the earliest occurrence of each stays.
+
+A passage may stand in the middle of a line, between words that differ from copy to copy, so units go down to sentences: the
+whole sentences of the passage are the same units in every copy.
+"""
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,28 +17,48 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, fresh
 
+_S, _WHITE = r"[\x20\x09-\x0D]", " \t\n\x0b\x0c\r"
+#: What stands between two units, by level.
+BREAKS = {
+    "paragraphs": re.compile(rf"{_S}*\n{_S}*\n{_S}*"),
+    "lines": re.compile(rf"{_S}*\n{_S}*"),
+    "sentences": re.compile(rf"{_S}*\n{_S}*|(?<=[.!?]){_S}+"),
+}
 
-def units(text: str, separator: str) -> list[tuple[int, str]]:
-    """(offset in code points, unit) in order."""
+
+def units(text: str, level: str) -> list[tuple[int, int, bytes, int]]:
+    """(start, end in code points, normalised bytes, words) of the units in order: A-Z lower-cased, a space between words.  White
+    space around units belongs to none; a text without words has no unit."""
     out, at = [], 0
-    for u in text.split(separator):
-        out.append((at, u))
-        at += len(u) + len(separator)
+    for m in [*BREAKS[level].finditer(text), None]:
+        end = m.start() if m else len(text)
+        part = text[at:end]
+        words = part.encode("utf-8", "surrogatepass").lower().split()
+        if words:
+            out.append((at + len(part) - len(part.lstrip(_WHITE)), at + len(part.rstrip(_WHITE)), b" ".join(words), len(words)))
+        at = m.end() if m else end
     return out
 
 
-def normalised(unit: str) -> bytes:
-    """A-Z lower-cased, runs of ASCII white space as one space, none at the ends."""
-    return b" ".join(unit.encode("utf-8", "surrogatepass").lower().split())
+def without(text: str, every: list, gone: set) -> str:
+    """The units that stay, each but the first after the white space that stood before it."""
+    stay = [i for i in range(len(every)) if i not in gone]
+    return "".join((text[every[i - 1][1] : every[i][0]] if k else "") + text[every[i][0] : every[i][1]] for k, i in enumerate(stay))
 
 
-def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", separator: str = "\n", min_words: int = 5) -> DataFrame:
+def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: str = "sentences", min_words: int = 8) -> DataFrame:
     """All rows of ``docs``, the text without its repeated units, and __units, __removed, __spans (array of (start, length) of the
     removed units in code points of the original text), which take the place of columns of these names.
 
-    A unit counts if it has at least ``min_words`` words.  Its first occurrence by (id, hash of the text, place) stays; all later
-    ones go, in the same document too.  Null texts stay null, null ids are left alone and keep nobody else from staying;
-    rows with equal id and text are one place.  An empty table gives no rows.  Digests have 128 bits.
+    level: paragraphs, lines or sentences (see BREAKS).  A unit counts if it has at least ``min_words`` words.  Its first
+    occurrence by (id, hash of the text, place) stays; all later ones go, in the same document too.  A text that loses
+    nothing stays as it is; one that loses a unit loses its outer white space too.  Null texts stay null, empty ones and those
+    without words stay and have no units; null ids are left alone and keep nobody else from staying; rows with equal id and
+    text are one place and lose the same.  A text is worked on whole, however long.  An empty table gives no rows.  Digests have
+    128 bits.
+
+    A digest of very many occurrences is split: digests are counted map-side, and the few that repeat are written before
+    they meet the occurrences, so that join's large partitions are split at run time.
     """
     scratch = Scratch(docs.sparkSession, "units")
 
@@ -40,9 +66,8 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             ids, ths, places, a, b = [], [], [], [], []
             for doc, th, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for i, u in enumerate((text or "").split(separator)):
-                    n = normalised(u)
-                    if n.count(b" ") + bool(n) >= min_words:
+                for i, (_, _, n, size) in enumerate(units(text or "", level)):
+                    if size >= min_words:
                         h = xxhash.xxh3_128_intdigest(n)
                         ids.append(doc)
                         ths.append(th)
@@ -55,7 +80,7 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     found = scratch.save(d.where("doc_id is not null").mapInArrow(hashes, "doc_id long, th long, place long, a long, b long"), "units")
     where = F.struct("doc_id", "th", "place")
-    first = found.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(where).alias("first")).where("c > 1").drop("c")
+    first = scratch.save(found.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(where).alias("first")).where("c > 1").drop("c"), "repeated")
     later = found.join(first, ["a", "b"]).where(where > F.col("first"))
     key, th, places, cut_ = fresh(docs, "__id", "__th", "__gone", "__cut")
     gone = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("place")).alias(places)).select(F.col("doc_id").alias(key), F.col("th").alias(th), places)
@@ -65,13 +90,12 @@ def remove_repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def cut(text: pd.Series, places: pd.Series) -> pd.DataFrame:
         rows = []
         for t, p in zip(text, places):
-            if t is None:
-                rows.append((None, 0, 0, []))
-            elif p is None:
-                rows.append((t, t.count(separator) + 1, 0, []))
+            every = units(t or "", level)
+            if p is None:
+                rows.append((t, len(every), 0, []))
             else:
-                every, drop = units(t, separator), set(np.asarray(p).tolist())
-                rows.append((separator.join(u for i, (_, u) in enumerate(every) if i not in drop), len(every), len(drop), [{"start": every[i][0], "length": len(every[i][1])} for i in sorted(drop)]))
+                drop = set(np.asarray(p).tolist())
+                rows.append((without(t, every, drop), len(every), len(drop), [{"start": every[i][0], "length": every[i][1] - every[i][0]} for i in sorted(drop)]))
         return pd.DataFrame(rows, columns=["text", "units", "removed", "spans"])
 
     j = j.withColumn(cut_, cut(F.col(text_col), F.col(places))).drop(places)

@@ -129,26 +129,43 @@ def test_line_runs(spark, texts, m):
         assert sorted((str(r.doc_id), r.text) for r in line_runs.drop_repeated_runs(twice).collect()) == [("1", "a\nb"), ("1", "a\nb"), ("2", ""), ("None", "a\nb")]
 
 
-def test_units(spark, texts):
+@pytest.mark.parametrize(("level", "least"), [("sentences", 8), ("lines", 5), ("paragraphs", 5)])
+def test_units(spark, texts, level, least):
+    """Against a plain scan: white space runs that end a unit, first occurrences kept."""
+    import re
+
+    r = random.Random(11)
+    passage = " ".join(f"p{i}" + "." * (i % 11 == 10) for i in range(60))
+    pool = [*texts, *(f"{' '.join(r.choices('abc', k=9))} {passage} {' '.join(r.choices('abc', k=9))}" for _ in range(30)), " lead. " + passage + "\n\n" + passage + " \n", "One two three four five six seven eight! " * 3]
     seen, want = set(), {}
-    for i, t in enumerate(texts):
-        if t is None:
-            want[i] = None
-            continue
-        kept = []
-        for u in t.split("\n"):
-            w = tuple(u.encode().lower().split())
-            if len(w) >= 5 and w in seen:
-                continue
+    for i, t in enumerate(pool):
+        found, at = [], 0  # (start, end) of units: words joined while the white space between does not end one
+        words = [m.span() for m in re.finditer("[^\x20\x09-\x0d]+", t or "")]
+        for a, b in words:
+            white = t[at:a]
+            ends = white.count("\n") >= (2 if level == "paragraphs" else 1) or (level == "sentences" and white and t[at - 1 : at] in tuple(".!?"))
+            if found and not ends:
+                found[-1][1] = b
+            else:
+                found.append([a, b])
+            at = b
+        gone = set()
+        for k, (a, b) in enumerate(found):
+            w = tuple(t[a:b].encode().lower().split())
+            if len(w) >= least and w in seen:
+                gone.add(k)
             seen.add(w)
-            kept.append(u)
-        want[i] = "\n".join(kept)
-    rows = unit_dedup.remove_repeated_units(frame(spark, texts)).collect()
-    assert {r.doc_id: r.text for r in rows} == want
-    for r in rows:
-        for s in r["__spans"]:
-            assert "\n" not in texts[r.doc_id][s.start : s.start + s.length]
+        kept = [k for k in range(len(found)) if k not in gone]
+        text = "".join((t[found[k - 1][1] : found[k][0]] if n else "") + t[found[k][0] : found[k][1]] for n, k in enumerate(kept)) if gone else t
+        want[i] = (text, len(found), [(found[k][0], found[k][1] - found[k][0]) for k in sorted(gone)])
+    rows = unit_dedup.remove_repeated_units(frame(spark, pool), level=level, min_words=least).collect()
+    assert {r.doc_id: (r.text, r["__units"], [(s.start, s.length) for s in r["__spans"]]) for r in rows} == want
+    assert level != "sentences" or sum(len(want[i][2]) >= 3 for i in range(len(texts), len(texts) + 30)) >= 29
     assert unit_dedup.remove_repeated_units(spark.createDataFrame([], EMPTY)).count() == 0
+    same = "a b c d e f g h"
+    odd = [(None, same), (3, same), (3, same), (4, same), (4, "x"), (None, None), (5, None), (6, "")]
+    got = unit_dedup.remove_repeated_units(spark.createDataFrame(odd, "doc_id long, text string"), level=level, min_words=least).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [(None, same), (3, same), (3, same), (4, ""), (4, "x"), (None, None), (5, None), (6, "")]))
 
 
 def test_fingerprints(spark, texts):
