@@ -149,68 +149,86 @@ def points(image: np.ndarray, variant: int = 0) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, POINT)
 
 
-def keys(p: np.ndarray, query: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, sketch, corner) of the tables: one for each corner, pair of its neighbours and table, with ``query`` at both sides of close borders."""
-    out = []
+def keys(p: np.ndarray, table: int, query: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, sketch, corner) of a table: one for each corner and pair of its neighbours, with ``query`` at both sides of close borders."""
     words = np.ascontiguousarray(p["bits"]).view(">u8").astype(np.uint64).reshape(len(p), 4)
-    place = (p["x"] + 1j * p["y"]) * p["size"]
+    place, turn = (p["x"] + 1j * p["y"]) * p["size"], p["turn"]
+    near, trios = NEAR_QUERY if query else NEAR, [np.empty((0, 3), np.int64)]
     for layer in np.unique(p["layer"]):
         m = np.flatnonzero(p["layer"] == layer)
-        near = NEAR_QUERY if query else NEAR
         if len(m) < 3:
             continue
-        z, t = place[m], p["turn"][m]
-        rows = []
+        z = place[m]
         for lo in range(0, len(m), 1024):  # large images have many corners
             d = np.abs(z[lo : lo + 1024, None] - z[None])
             d[d < APART] = np.inf
             nn = np.argpartition(d, min(near, len(m) - 1), axis=1)[:, : near + 1]
             far = np.take_along_axis(d, nn, 1)
             by = np.lexsort((nn, far), axis=1)[:, :near]
-            rows.append(np.where(np.isfinite(np.take_along_axis(far, by, 1)), np.take_along_axis(nn, by, 1), -1))
-        nn = np.concatenate(rows)
-        for r1, r2 in itertools.combinations(range(nn.shape[1]), 2):
-            a = np.flatnonzero((nn[:, r1] >= 0) & (nn[:, r2] >= 0))
-            if not len(a):
-                continue
-            b, c = nn[a, r1], nn[a, r2]
-            vb, vc = ((z[x] - z[a]) * np.exp(-1j * t[a]) for x in (b, c))
-            swap = np.angle(vb) > np.angle(vc)
-            b, c, vb, vc = np.where(swap, c, b), np.where(swap, b, c), np.where(swap, vc, vb), np.where(swap, vb, vc)
-            where = [np.log(np.abs(vb)) / np.log(RATIO), np.log(np.abs(vc)) / np.log(RATIO), np.angle(vb) / (2 * np.pi) * ANGLES, np.angle(vc) / (2 * np.pi) * ANGLES]
-            sketch = np.zeros(len(a), np.uint64)
-            for x in (a, b, c):
-                sketch = (sketch << np.uint64(21)) | (words[m[x], 3] >> np.uint64(43))
-            for k in range(TABLES):
-                code = np.full(len(a), k, np.uint64)
-                for x in (a, b, c):
-                    code = (code << np.uint64(KEY_BITS)) | ((words[m[x], k // 4] >> np.uint64(64 - KEY_BITS * (k % 4 + 1))) & np.uint64((1 << KEY_BITS) - 1))
-                for side in itertools.product((-BORDER, BORDER), repeat=4) if query else ((0, 0, 0, 0),):
-                    cells = [np.floor(g + s).astype(np.int64) % (ANGLES if i > 1 else 64) for i, (g, s) in enumerate(zip(where, side))]
-                    cell = sum(np.uint64(64**i) * g.astype(np.uint64) for i, g in enumerate(cells))
-                    out.append((mix64(code ^ mix64(cell)), sketch, m[a]))
-    if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
-    key, sketch, corner = map(np.concatenate, zip(*out))
+            nn, far = np.take_along_axis(nn, by, 1), np.take_along_axis(far, by, 1)
+            for r1, r2 in itertools.combinations(range(nn.shape[1]), 2):
+                a = np.flatnonzero(np.isfinite(far[:, r1]) & np.isfinite(far[:, r2]))
+                trios.append(np.stack([m[a + lo], m[nn[a, r1]], m[nn[a, r2]]], 1))
+    a, b, c = np.concatenate(trios).T
+    vb, vc = ((place[x] - place[a]) * np.exp(-1j * turn[a]) for x in (b, c))
+    swap = np.angle(vb) > np.angle(vc)
+    b, c, vb, vc = np.where(swap, c, b), np.where(swap, b, c), np.where(swap, vc, vb), np.where(swap, vb, vc)
+    where = [np.log(np.abs(vb)) / np.log(RATIO), np.log(np.abs(vc)) / np.log(RATIO), np.angle(vb) / (2 * np.pi) * ANGLES, np.angle(vc) / (2 * np.pi) * ANGLES]
+    code, sketch = np.full(len(a), table, np.uint64), np.zeros(len(a), np.uint64)
+    for x in (a, b, c):
+        code = (code << np.uint64(KEY_BITS)) | ((words[x, table // 4] >> np.uint64(64 - KEY_BITS * (table % 4 + 1))) & np.uint64((1 << KEY_BITS) - 1))
+        sketch = (sketch << np.uint64(21)) | (words[x, 3] >> np.uint64(43))
+    cells = []
+    for i, g in enumerate(where):
+        n = ANGLES if i > 1 else 64
+        cells.append([(np.floor(g + s).astype(np.int64) % n).astype(np.uint64) * np.uint64(64**i) for s in ((-BORDER, BORDER) if query else (0,))])
+    key = np.concatenate([mix64(code ^ mix64(sum(x))) for x in itertools.product(*cells)])
+    times = len(key) // max(1, len(a))
+    sketch, corner = np.tile(sketch, times), np.tile(a, times)
     if query:  # both sides of a border that is not close are one
         _, first = np.unique(key ^ mix64(sketch ^ mix64(corner.astype(np.uint64))), return_index=True)
         key, sketch, corner = key[first], sketch[first], corner[first]
     return key, sketch, corner
 
 
-def votes(q: np.ndarray, p: np.ndarray, hits: np.ndarray, max_bits: int = MAX_BITS, reach: float = 3.0) -> int:
-    """Places of the query q that lie, under one similarity transform, where matching corners of p are.  hits: pairs (corner of q,
-    corner of p) that propose a transform each."""
+def poses(p: np.ndarray) -> np.ndarray:
+    """Place, turn and size of corners as one number each: half pixels (18 bits each), 1024 turns, size to 3 %."""
+    x, y = (np.clip(np.round(p[c] * 2.0), 0, (1 << 18) - 1).astype(np.int64) for c in "xy")
+    turn = np.round(p["turn"] / (2 * np.pi) * 1024).astype(np.int64) % 1024
+    return (((x << 18 | y) << 10 | turn) << 10) | np.clip(np.round((np.log2(p["size"]) + 20) * 25), 0, 1023).astype(np.int64)
+
+
+def placed(pose: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places as complex numbers, turns and sizes of poses."""
+    pose = np.asarray(pose, np.int64)
+    z = (pose >> 38) / 2 + 1j * ((pose >> 20) & ((1 << 18) - 1)) / 2
+    return z, ((pose >> 10) & 1023) / 1024 * 2 * np.pi, 2.0 ** ((pose & 1023) / 25 - 20)
+
+
+def agreeing(q: np.ndarray, p: np.ndarray) -> int:
+    """Hits (poses in the query, poses in the image) at different corners that the transform of one of them explains, at most."""
+    z, tq, sq = placed(q)
+    w, tp, sp = placed(p)
+    turn, size = tp - tq, sq / sp
+    along = (np.abs(np.angle(np.exp(1j * (turn[:, None] - turn)))) < 0.4) & (np.abs(np.log(size[:, None] / size)) < 0.5)
+    off = np.abs((size * np.exp(1j * turn))[:, None] * (z[None] - z[:, None]) + w[:, None] - w[None])
+    along &= off < 6 + 0.3 * size[:, None] * np.abs(z[None] - z[:, None])
+    return max(min(_places(z[k]), _places(w[k])) for k in along)
+
+
+def votes(q: np.ndarray, p: np.ndarray, hits: tuple[np.ndarray, np.ndarray], max_bits: int = MAX_BITS, reach: float = 3.0) -> int:
+    """Places of the query q that lie, under one similarity transform, where matching corners of p are.  hits: poses in q and in p
+    that propose a transform each."""
     if not len(q) or not len(p):
         return 0
     i, j = _matches(q, p, max_bits)
-    z, w = (x["x"].astype(np.float64) + 1j * x["y"] for x in (q, p))
+    z, w = (x["x"].astype(np.float64) + 1j * x["y"].astype(np.float64) for x in (q, p))
     turn, size = p["turn"][j].astype(np.float64) - q["turn"][i], q["size"][i].astype(np.float64) / p["size"][j]
     zi, wj, best = z[i], w[j], 0
-    for a, b in hits:
-        t, s = float(p["turn"][b]) - float(q["turn"][a]), float(q["size"][a]) / float(p["size"][b])
+    for za, ta, sa, wb, tb, sb in zip(*placed(hits[0]), *placed(hits[1])):
+        t, s = tb - ta, sa / sb
         along = (np.abs(np.angle(np.exp(1j * (turn - t)))) < 0.5) & (np.abs(np.log(size / s)) < 0.4)
-        ok = along & (np.abs(s * np.exp(1j * t) * (zi - z[a]) + w[b] - wj) < reach + 0.2 * s * np.abs(zi - z[a]))
+        ok = along & (np.abs(s * np.exp(1j * t) * (zi - za) + wb - wj) < reach + 0.2 * s * np.abs(zi - za))
         for _ in range(3):
             if ok.sum() < 3:
                 break
@@ -270,29 +288,43 @@ def distinct_images(described: DataFrame) -> DataFrame:
     return d.select(F.monotonically_increasing_id().alias("n"), "h", "id", "copies", "points")
 
 
-def table_rows(images: DataFrame, query: bool) -> DataFrame:
-    """(key, sketch, n, corner) of the Hamming tables, see keys."""
+def table_rows(images: DataFrame, table: int, query: bool) -> DataFrame:
+    """(key, sketch, n, pose) of a Hamming table, see keys."""
 
     def run(batches):
         for batch in batches:
             for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                key, sketch, corner = keys(np.frombuffer(blob.as_py(), POINT), query)
+                p = np.frombuffer(blob.as_py(), POINT)
+                key, sketch, corner = keys(p, table, query)
                 if len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sketch.view(np.int64)), pa.array(np.full(len(key), n, np.int64)), pa.array(corner.astype(np.int32))], ["key", "sketch", "n", "corner"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sketch.view(np.int64)), pa.array(np.full(len(key), n, np.int64)), pa.array(poses(p)[corner])], ["key", "sketch", "n", "pose"])
+
+    return images.select("n", "points").mapInArrow(run, "key long, sketch long, n long, pose long")
 
-    return images.select("n", "points").mapInArrow(run, "key long, sketch long, n long, corner int")
 
+def candidates(scratch: Scratch, asks: DataFrame, base: DataFrame) -> DataFrame:
+    """(q, n, qs, ps): image pairs that meet in the tables at two corners that agree on a transform, with the poses of all that met.
 
-def candidates(asks: DataFrame, base: DataFrame) -> DataFrame:
-    """(q, n, hits): image pairs that meet in the tables at two corners of the query at least, with the corners that met.
+    The tables are joined one by one, so that the files of one at a time are on disk.  A frequent key has no limit: the sort-merge
+    join's large partitions are split at run time, and the test of the sketches is part of the join."""
+    met = []
+    for k in range(TABLES):
+        a = table_rows(asks, k, True).select("key", F.col("sketch").alias("qs"), F.col("n").alias("q"), F.col("pose").alias("qp"))
+        b = table_rows(base, k, False).select("key", F.col("sketch").alias("bs"), "n", F.col("pose").alias("bp"))
+        on = (a.key == b.key) & (F.bit_count(F.col("qs").bitwiseXOR(F.col("bs"))) <= SKETCH_BITS)
+        met.append(scratch.save(a.hint("merge").join(b, on).select("q", "n", "qp", "bp"), f"met{k}"))
+    every = met[0]
+    for x in met[1:]:
+        every = every.union(x)
+    pairs = every.groupBy("q", "n").agg(F.collect_set(F.struct("qp", "bp")).alias("hits")).where(F.size("hits") >= 2)
+    pairs = pairs.select("q", "n", F.transform("hits", lambda x: x["qp"]).alias("qs"), F.transform("hits", lambda x: x["bp"]).alias("ps"))
+
+    def agree(batches):
+        for batch in batches:
+            keep = [agreeing(q.values.to_numpy(), p.values.to_numpy()) >= 2 for q, p in zip(batch.column(2), batch.column(3))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    A frequent key has no limit: the sort-merge join's large partitions are split at run time, and the test of the sketches is
-    part of the join."""
-    a = table_rows(asks, True).select("key", F.col("sketch").alias("qs"), F.col("n").alias("q"), F.col("corner").alias("a"))
-    b = table_rows(base, False).select("key", F.col("sketch").alias("bs"), "n", F.col("corner").alias("b"))
-    met = a.hint("merge").join(b, (a.key == b.key) & (F.bit_count(F.col("qs").bitwiseXOR(F.col("bs"))) <= SKETCH_BITS))
-    hits = met.groupBy("q", "n").agg(F.collect_set(F.struct("a", "b")).alias("hits"))
-    return hits.where(F.size(F.array_distinct(F.transform("hits", lambda x: x["a"]))) >= 2)
+    return scratch.save(pairs.mapInArrow(agree, pairs.schema), "candidates")
 
 
 def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS, min_votes: int = MIN_VOTES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -309,14 +341,14 @@ def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS,
     asked = scratch.save(describe(queries.select("id", "image"), len(VARIANTS)), "asked")
     asks = scratch.save(distinct_images(asked), "queries")
     base = scratch.save(distinct_images(describe(images.select("id", "image"))), "images")
-    hits = scratch.save(candidates(asks, base), "hits")
+    hits = candidates(scratch, asks, base)
 
     def judge(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for h, qp, pairs, i, copies, bp in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+            for h, i, copies, qp, bp, qs, ps in zip(*(batch.column(k).to_pylist() for k in range(3)), *(batch.column(k) for k in range(3, 7))):
                 q = np.frombuffer(qp.as_py(), POINT)
-                n = votes(q, np.frombuffer(bp.as_py(), POINT), sorted((x["a"], x["b"]) for x in pairs), max_bits)
+                n = votes(q, np.frombuffer(bp.as_py(), POINT), (qs.values.to_numpy(), ps.values.to_numpy()), max_bits)
                 if n >= needed(q, min_votes, min_share):
                     for col, x in zip(out, (h, i, n, copies)):
                         col.append(x)
@@ -324,7 +356,8 @@ def find_copies(queries: DataFrame, images: DataFrame, max_bits: int = MAX_BITS,
 
     x = asks.select(F.col("n").alias("q"), "h", F.col("points").alias("qp"))
     y = base.select("n", F.col("id").alias("match_id"), "copies", F.col("points").alias("bp"))
-    found = hits.join(x.hint("merge"), "q").join(y.hint("merge"), "n").select("h", "qp", "hits", "match_id", "copies", "bp").mapInArrow(judge, "h binary, match_id long, votes long, copies long")
+    both = hits.join(y.hint("merge"), "n").join(x.hint("merge"), "q").select("h", "match_id", "copies", "qp", "bp", "qs", "ps")
+    found = both.mapInArrow(judge, "h binary, match_id long, votes long, copies long")
     return asked.select(F.col("id").alias("query_id"), "h").join(found, "h").select("query_id", "match_id", "votes", "copies")
 
 

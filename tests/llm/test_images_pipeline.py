@@ -64,7 +64,7 @@ def test_recall_against_all_pairs(spark):
             continue
         q, p = np.concatenate([images.points(q8(a), v) for v in range(len(images.VARIANTS))]), known[900 if i in (300, 301) else i % 100]
         x, y = images._matches(q, p, images.MAX_BITS)
-        if images.votes(q, p, list(zip(x, y))[::3]) >= images.needed(q):
+        if images.votes(q, p, (images.poses(q)[x][::3], images.poses(p)[y][::3])) >= images.needed(q):
             whole.add(i)
     strange = sum(r.match_id != (900 if r.query_id in (300, 301) else r.query_id % 100) for r in got)
     assert len(whole) >= 0.95 * (len(asks) - 1) and len(found & whole) >= 0.9 * len(whole) and {300, 301} <= found and strange <= 3
