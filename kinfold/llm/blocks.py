@@ -66,7 +66,8 @@ def unpack(blob: bytes) -> pa.RecordBatch:
 
 def write_blocks(scratch: Scratch, docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, int]:
     """(blk long, payload binary) as a bucketed table, and its number of buckets.  No row of a block is larger than one
-    text or BLOCK_BYTES; the ids are fixed by being written."""
+    text or BLOCK_BYTES; the ids are fixed by being written.  Tasks read a bucket block by block, so its size bounds no memory
+    (the catalog takes 100,000 buckets at most)."""
     spark, at = docs.sparkSession, docs.columns.index(text_col)
 
     def run(batches):
@@ -103,7 +104,30 @@ def write_blocks(scratch: Scratch, docs: DataFrame, text_col: str = "text") -> t
     name = f"blocks_{uuid.uuid4().hex[:16]}"
     where = scratch.path("blocks")
     docs.mapInArrow(run, "blk long, payload binary").write.option("path", where).option("compression", "none").bucketBy(buckets, "blk").format("parquet").saveAsTable(name)
-    return spark.table(name), buckets
+    table = spark.table(name)
+    table._stored_as = (name, where)
+    return table, buckets
+
+
+def _folder(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def shards_for(stored: DataFrame, shard_bytes: int = 16 << 20) -> int:
+    """Shards of what all blocks send, so many that each stands for about shard_bytes of compressed text, whatever the session's
+    number of shuffle partitions; never fewer than that number."""
+    spark = stored.sparkSession
+    fs, path = _folder(spark, stored._stored_as[1])
+    return max(4, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-fs.getContentSummary(path).getLength() // shard_bytes))
+
+
+def release(stored: DataFrame) -> None:
+    """Drop the table of blocks and its files, once nothing is going to read them."""
+    spark, (name, where) = stored.sparkSession, stored._stored_as
+    spark.sql(f"drop table if exists {name}")
+    fs, path = _folder(spark, where)
+    fs.delete(path, True)
 
 
 def join_blocks(blocks: DataFrame, buckets: int, messages: DataFrame) -> DataFrame:

@@ -73,7 +73,8 @@ def with_next(docs: DataFrame, scratch: Scratch, part_rows: int = 1024) -> DataF
     """(bucket, ghost, doc_id, text): rows in buckets of neighbouring ids; ghost rows are the first row of the following bucket.
 
     Bucket borders are quantiles of the ids (one for each part_rows rows, at most 100,000); which row heads a bucket is
-    found on ids and hashes alone, so each text moves once.
+    found on ids and hashes alone, so each text moves once.  Tasks stream through sorted buckets with one row in hand, so larger
+    buckets (of more than 100,000,000 documents, or of one id repeated) bound no memory.
     """
     d = docs.withColumn("th", F.xxhash64("text"))
     n = docs.count()
@@ -112,7 +113,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.  A null text is empty; a text
     without words has the empty fingerprint, which is like itself (1) and unlike all others (0).  Ties of ids go by falling
-    hash of the text, null ids come last.  A single document is its own next one.  An empty table gives no rows.
+    hash of the text, null ids come last.  A single document is its own next one.  An empty table gives no rows.  Texts of any length
+    count whole; further columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "prints")

@@ -16,12 +16,21 @@ from pyspark.sql import DataFrame, functions as F
 from . import blocks as B
 from .common import Scratch, mix64
 
-BOS, EOS = 1, 2
+#: A symbol has 16 bits: characters up to U+FFFF are themselves, those beyond share, by remainder, the ASTRAL symbols of the
+#: surrogate range, which no character of a text has; its last two are the marks around a text.
+BOS, EOS = 0xDFFE, 0xDFFF
+ASTRAL = 2046
 DENSE = 1 << 24
 
 
 def symbols(text: str) -> np.ndarray:
-    return (np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 0xFFFF).astype(np.int64)
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where(cp > 0xFFFF, 0xD800 + cp % ASTRAL, cp)
+
+
+def lang_key(lang: str | None) -> str:
+    """A language as a key that keeps null and the empty name apart."""
+    return "-" if lang is None else "+" + lang
 
 
 def sequence(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +103,7 @@ def gram_counts(joined: DataFrame, columns: tuple[int, int, int], order: int) ->
                     i = m["row"].as_py()
                     t = batch.column(i_text)[i].as_py()
                     if t:
-                        held.setdefault(batch.column(i_lang)[i].as_py() or "", []).append(t)
+                        held.setdefault(lang_key(batch.column(i_lang)[i].as_py()), []).append(t)
                         size += len(t)
                     if size > B.BLOCK_BYTES:
                         yield from flush()
@@ -143,7 +152,7 @@ def train(scratch: Scratch, joined: DataFrame, columns: tuple[int, int, int], or
 
 
 def perplexities(scratch: Scratch, stored: DataFrame, buckets: int, model: DataFrame, order: int, columns: tuple[int, int, int], shards: int) -> DataFrame:
-    """(blk, row, doc_id, lang, n, perplexity) for each document of the blocks; columns: places of id, text and language."""
+    """(blk, row, doc_id, lang, n, perplexity) for each document of the blocks, lang as lang_key gives it; columns: places of id, text and language."""
     i_id, i_text, i_lang = columns
 
     def by_lang(batch):
@@ -151,7 +160,7 @@ def perplexities(scratch: Scratch, stored: DataFrame, buckets: int, model: DataF
         out: dict[str, list[int]] = {}
         for i, (t, lang) in enumerate(zip(texts, langs)):
             if t:
-                out.setdefault(lang or "", []).append(i)
+                out.setdefault(lang_key(lang), []).append(i)
         return texts, dict(sorted(out.items()))
 
     def shard_of(codes):
@@ -232,7 +241,7 @@ def perplexities(scratch: Scratch, stored: DataFrame, buckets: int, model: DataF
                     ends = np.cumsum(n)
                     per[at] = np.exp(-np.add.reduceat(lp, ends - n) / n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([blk] * n_rows, pa.int64()), pa.array(np.arange(n_rows)), batch.column(i_id).cast(pa.int64()), pa.array([x or "" for x in batch.column(i_lang).to_pylist()], pa.string()), pa.array(length), pa.array(per, pa.float64(), mask=np.isnan(per))],
+                    [pa.array([blk] * n_rows, pa.int64()), pa.array(np.arange(n_rows)), batch.column(i_id).cast(pa.int64()), pa.array([lang_key(x) for x in batch.column(i_lang).to_pylist()], pa.string()), pa.array(length), pa.array(per, pa.float64(), mask=np.isnan(per))],
                     ["blk", "row", "doc_id", "lang", "n", "perplexity"],
                 )
 
@@ -252,12 +261,15 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     language is the language's bound, times 1 + slack where they are too few to tell the quantile from their greatest (under
     1 / (1 - quantile)).
     A document without text, or in a language without trusted text, has no perplexity and is kept; a null language is a
-    language of its own.  Rows that share an id are judged each by its own text.  An empty table gives no rows.
+    language of its own, and so is the empty name.  Rows that share an id, or all, are judged each by its own text; a perplexity
+    equal to the bound is kept; null ids are judged but never trusted.  A text of any length is one row of a block and scored
+    whole.  An empty table gives no rows.  Further columns are ignored, whatever their names.
+    The blocks stay until B.release.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
-    shards = shards or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     stored, buckets = B.write_blocks(scratch, docs, text_col)
+    shards = shards or B.shards_for(stored)
     ids = trusted_ids.where("doc_id is not null").select("doc_id").distinct()
     columns = tuple(docs.columns.index(c) for c in (id_col, text_col, lang_col))
     with B.batch_rows(spark, 4):
@@ -269,7 +281,8 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     margin = F.when(F.count("perplexity") * (1 - quantile) < 1, 1 + slack).otherwise(1.0)
     bound = held.groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("bound"))
     per = per.join(F.broadcast(bound), "lang", "left")  # a row for each language
-    per = scratch.save(per.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("bound"), F.lit(True))), "verdicts")
+    lang = F.when(F.col("lang") != "-", F.expr("substring(lang, 2)"))
+    per = scratch.save(per.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("bound"), F.lit(True))).withColumn("lang", lang), "verdicts")
     return per, stored, buckets
 
 
@@ -287,4 +300,6 @@ def kept_documents(docs: DataFrame, trusted_ids: DataFrame, **options) -> DataFr
 
     unpacked = B.unpack
     with B.batch_rows(docs.sparkSession, 4):
-        return scratch.save(B.join_blocks(stored, buckets, per.where("kept").select("blk", "row")).mapInArrow(pick, docs.schema), "kept")
+        out = scratch.save(B.join_blocks(stored, buckets, per.where("kept").select("blk", "row")).mapInArrow(pick, docs.schema), "kept")
+    B.release(stored)
+    return out

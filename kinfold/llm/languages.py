@@ -33,7 +33,8 @@ _OF = np.array([_NAMES.index(b) for _, b in SCRIPTS])
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    """Words in lower case, found in the text as it is (lower case may be longer, and move what follows)."""
+    return [w.lower() for w in WORDS.findall(text)]
 
 
 def scripts(words: list[str]) -> np.ndarray:
@@ -152,7 +153,7 @@ def label_texts(model: Model, texts: list[str | None], penalty: float = PENALTY,
         sure = 1.0 / (1.0 + np.exp(-min(50.0, max(-50.0, gap))))
         runs = None
         if spans:
-            at = [m.span() for m in WORDS.finditer(texts[i].lower())]
+            at = [m.span() for m in WORDS.finditer(texts[i])]
             lab = labels[starts[k] : starts[k] + lens[k]]
             cut = np.concatenate([[0], np.flatnonzero(np.diff(lab)) + 1, [len(lab)]])
             runs = [(at[a][0], at[b - 1][1], model.langs[lab[a]]) for a, b in zip(cut[:-1], cut[1:])]
@@ -162,7 +163,8 @@ def label_texts(model: Model, texts: list[str | None], penalty: float = PENALTY,
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on labelled rows (doc_id, text, lang), of each language about ``sample`` (all if it has fewer), picked by a hash of the
-    id, so on whole texts.  Bucket counts are summed within tasks and then over them; a language is one row of fixed size."""
+    id, so on whole texts.  Bucket counts are summed within tasks and then over them; a language is one row of fixed size.
+    More than 1000 labels raise a ValueError: the model holds 256 kB a language in every task."""
     known = docs.where("lang is not null and text is not null")
     per = known.groupBy("lang").count().limit(1001).collect()  # one row a language
     if len(per) > 1000:
@@ -203,7 +205,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """doc_id, lang_pred, score, and with ``spans`` an array of (start, end, lang) in code points of the text.
 
     Null texts and texts without a letter are 'und' with score 0; so is everything under a model without languages.  The
-    whole text counts.  One row for each input row; further columns are ignored; null ids are kept.
+    whole text counts, however long (a task holds one text and its words).  Ties between languages go to the first by code point.
+    One row for each input row, repeated ones too; further columns are ignored, whatever their names; null ids are kept.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 256 kB a language
     kind = "doc_id long, lang_pred string, score double" + (", spans array<struct<start long, end long, lang string>>" if spans else "")

@@ -37,7 +37,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scratch = Scratch(docs.sparkSession, "runs")
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n", -1)).alias("idx", "line")).where("doc_id is not null")
     long = F.lit(False) if long_words is None else F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= long_words
-    now = d.select("doc_id", "th", "idx", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), long.alias("long")).distinct()
+    # Two hashes that do not follow from one another: Spark chains them, so the constant comes first.
+    now = d.select("doc_id", "th", "idx", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), long.alias("long")).distinct()
     now = _ranked(scratch, now, ["a", "b"], 0, ("long",))
     level, covers = 0, None
     while True:
@@ -58,6 +59,7 @@ def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Lines are what stands between line feeds, compared exactly.  Nulls keep a null text, and rows with a null id are left alone;
     an empty text is one empty line.  Rows that share id and text are one place: they don't delete one another.
+    A text of any length is worked on whole (its lines are rows); an empty table gives no rows; further columns stay as they are.
     Ties go by the hash of the text.  A text whose lines all go becomes empty.
     """
     covers = repeated_runs(docs, id_col, text_col, min_lines, long_words)

@@ -15,6 +15,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import WORD, Scratch, constants, fresh, mix64
@@ -60,17 +61,33 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def hypergeometric(rng, good: int, bad: int, take: int) -> int:
+    """How many of ``take`` items drawn from good + bad are good, exactly, for any numbers (numpy's sampler ends at 1e9).
+
+    Above that every item is drawn on its own with probability take / all, by two binomial draws, and as many items as there are
+    too few are drawn from the rest, or too many from those drawn: their number is about the root of take, so few rounds do.
+    """
+    if good + bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, take)) if good and take else 0
+    if take <= 16:
+        got = 0
+        for k in range(take):
+            got += int(rng.integers(good + bad - k)) < good - got
+        return got
+    if 2 * take > good + bad:
+        return good - hypergeometric(rng, good, bad, good + bad - take)
+    p = take / (good + bad)
+    x, y = int(rng.binomial(good, p)), int(rng.binomial(bad, p))
+    if x + y <= take:
+        return x + hypergeometric(rng, good - x, bad - y, take - x - y)
+    return x - hypergeometric(rng, x, y, x + y - take)
+
+
 def _split(rng, counts: np.ndarray, take: int) -> np.ndarray:
-    """How many of each source fall among `take` of all slots; normal approximation where numpy's sampler ends (1e9)."""
+    """How many of each source fall among `take` of all slots."""
     out, left, rest = np.zeros_like(counts), take, int(counts.sum())
-    for i, c in enumerate(counts):
-        c = int(c)
-        if rest < 1_000_000_000:
-            k = rng.hypergeometric(c, rest - c, left) if c and left else 0
-        else:
-            p = left / rest
-            k = round(rng.normal(c * p, math.sqrt(max(0.0, c * p * (1 - p) * (rest - c) / rest))))
-        k = int(min(max(k, left - (rest - c), 0), c, left))
+    for i, c in enumerate(counts.tolist()):
+        k = hypergeometric(rng, c, rest - c, left)
         out[i], left, rest = k, left - k, rest - c
     return out
 
@@ -91,11 +108,13 @@ def shard_counts(counts: np.ndarray, shards: int, width: int, shard: int, seed:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = (5, 2, 1), cap: int = 3, block: int = 64, slots_per_shard: int = 1 << 15, seed: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Two tables: documents (doc_id, source, thash, size, source_size, target, taken) and pieces (doc_id, thash, pass, start,
+    """Two tables: documents (doc_id, source, thash, size, source_size, target, taken) and pieces (doc_id, source, thash, pass, start,
     length): the words of a document that the mix takes, pass by pass.
 
     A null text has no words; a null source is a source of its own, the last.  Rows with one id are separate documents
-    (equal rows of one id share their pieces).  An empty table gives empty tables.  Further columns are ignored.
+    (rows equal in id, source and text share their pieces); null ids are kept.  Ties in a source's pseudorandom order go by
+    id and text.  A text of any length is cut over as many blocks as it fills.  An empty table gives empty tables.  Further
+    columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
@@ -153,33 +172,37 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     lo = F.greatest(F.col("block") * block, F.col("off"))
     end = F.when(F.col("block") == F.col("blocks") - 1, F.col("off") + F.col("size")).otherwise(F.least((F.col("block") + 1) * block, F.col("off") + F.col("size")))
     end = F.least(end, F.when(F.col("limit") < (1 << 40), F.col("block") * block + F.col("limit")).otherwise(end))
-    pieces = parts.select("doc_id", "thash", "off", "pass", (lo - F.col("off")).alias("start"), (end - lo).alias("length")).where("length > 0")
+    pieces = parts.select("doc_id", "s", "thash", "off", "pass", (lo - F.col("off")).alias("start"), (end - lo).alias("length")).where("length > 0")
     pieces = scratch.save(pieces, "pieces")
-    taken = pieces.groupBy("doc_id", "off").agg(F.sum("length").alias("taken"))
-    out = d.join(taken, d.doc_id.eqNullSafe(taken.doc_id) & (d.off == taken.off) & (d["size"] > 0), "left").select(d.doc_id, "source", "thash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    # A document is a source's place: words of other sources begin at the same offsets.
+    taken = pieces.groupBy("doc_id", "s", "off").agg(F.sum("length").alias("taken"))
+    pieces = pieces.join(plan.select("s", "source"), "s").drop("s", "off")
+    out = d.join(taken, d.doc_id.eqNullSafe(taken.doc_id) & (d.s == taken.s) & (d.off == taken.off) & (d["size"] > 0), "left").select(d.doc_id, "source", "thash", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
     return out, pieces
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents with the columns of ``docs``: for each pass that takes words of a document one row, whose text holds
     those words with the white space between them (the whole text where all words are taken); parts that did not stand
-    side by side are joined by a line break.  n_chars, where present, is the new text's length."""
+    side by side are joined by a line break.  n_chars, where present, is the new text's length.  Nulls, ties, repeated rows,
+    very long texts and empty tables are as in ``mix``; a document of which no word is taken gives no row."""
     import re
 
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixed")
     _, pieces = mix(docs, **options)
-    key, th, parts = fresh(docs, "__id", "__th", "__runs")
-    runs = pieces.groupBy("doc_id", "thash").agg(F.collect_set(F.struct(F.col("pass").alias("p"), "start", "length")).alias(parts))
-    runs = runs.select(F.col("doc_id").alias(key), F.col("thash").alias(th), parts)
-    j = docs.join(runs, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(th))).drop(key, th)
+    key, th, src, parts = fresh(docs, "__id", "__th", "__source", "__runs")
+    runs = pieces.groupBy("doc_id", "source", "thash").agg(F.collect_set(F.struct(F.col("pass").alias("p"), "start", "length")).alias(parts))
+    runs = runs.select(F.col("doc_id").alias(key), F.col("source").alias(src), F.col("thash").alias(th), parts)
+    j = docs.join(runs, F.col("doc_id").eqNullSafe(F.col(key)) & F.col("source").cast("string").eqNullSafe(F.col(src)) & (F.xxhash64("text") == F.col(th))).drop(key, src, th)
     word = re.compile("[^\x20\x09-\x0d]+")
     fields = docs.schema
 
-    def cut(frames):
-        for frame in frames:
-            out = []
-            for row in frame.to_dict("records"):
+    def cut(batches):
+        # Arrow rows, not pandas: a null among ids must not make floats of the others.
+        for batch in batches:
+            out, kind = [], pa.schema([f for f in batch.schema if f.name != parts])
+            for row in batch.to_pylist():
                 text, passes = row["text"], {}
                 at = [m.span() for m in word.finditer(text)]
                 for r in row.pop(parts):
@@ -193,6 +216,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                             merged.append([a, b])
                     new = text if merged == [[0, len(at)]] else "\n".join(text[at[a][0] : at[b - 1][1]] for a, b in merged)
                     out.append(row | {"text": new} | ({"n_chars": len(new)} if "n_chars" in row else {}))
-            yield pd.DataFrame(out, columns=fields.names).astype({k: "object" for k in fields.names}) if not out else pd.DataFrame(out, columns=fields.names)
+            yield pa.RecordBatch.from_pylist(out, kind)
 
-    return j.mapInPandas(cut, fields)
+    return j.mapInArrow(cut, fields)

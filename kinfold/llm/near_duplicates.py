@@ -91,16 +91,19 @@ def shingle_counts(sets: DataFrame, counters: int) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(got.blob), np.int64) if got else np.zeros(counters, np.int64)
 
 
-def remaining_pairs(scratch: Scratch, sets: DataFrame, percent: int, counters: int = 1 << 18, step: float = 1.04) -> DataFrame:
+def remaining_pairs(scratch: Scratch, sets: DataFrame, percent: int, counters: int | None = None, step: float = 1.04) -> DataFrame:
     """Pairs (p, q) of sets (id, shingles, component) from different components that may be similar enough; none that is is left out.
 
     Two sets of sizes m and n are similar enough only if they share at least c = percent / (100 + percent) * (m + n) shingles, so
     in any fixed order of the shingles they share one among the first m - c + 1 of the one and the first n - c + 1 of the other.
-    The order is rarest first (counts by hash, in a fixed number of counters, so it is one array of 2 MB for all), sizes are
+    The order is rarest first (counts by hash; as many counters as there are shingles, between 2**18 and 2**23, so at most 64 MB
+    are broadcast; more shingles share counters, which costs time and no pair), sizes are
     taken in classes of a factor ``step``, and rows meet on (shingle, both classes) where the rest of both sets, from the
     shingle on, is long enough for c.  Copies with many edits of their own thus
     meet only copies that share one of these edits.  In each such key only the members outside its largest component ask.
     """
+    if counters is None:
+        counters = 1 << min(23, max(18, int(sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(1))).first()[0]).bit_length()))
     shared = scratch.spark.sparkContext.broadcast(shingle_counts(sets, counters))
     log = float(np.log(step))
 

@@ -75,9 +75,11 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .blocks import release
     from .kneser_ney import classify
 
-    per, _, _ = classify(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    per, stored, _ = classify(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
+    release(stored)
     return per.select("doc_id", "lang", F.col("n").alias("n_symbols"), "perplexity", "bound", "kept")
 
 

@@ -202,13 +202,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of (start, length) of the removed
     runs, offsets in the original bytes).  Texts are UTF-8 bytes, null is empty; matches stay within documents, and strings
     are judged on the input.  Rows with one id don't remove from one another; a null id neither removes nor loses anything.
-    An empty table gives no rows.  Further columns are ignored.  Strings of over GRAM bytes only (length > 20).
+    A text of any length is one row of a block.  An empty table gives no rows.  Further columns are ignored.  Strings of over
+    GRAM bytes only (length > 20).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "repeats")
-    shards = shards or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     stored, buckets = B.write_blocks(scratch, docs)
+    shards = shards or B.shards_for(stored)
 
     def load(blob):
         batch = B.unpack(blob)
@@ -330,4 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         sent = B.join_blocks(stored, buckets, flags).mapInArrow(send, schema)
         spans = scratch.save(sent.groupBy("shard").applyInPandas(sort, schema).withColumn("kind", F.lit(2)), "spans")
         out = B.join_blocks(stored, buckets, flags.union(spans)).mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start long, length long>>")
-        return scratch.save(out, "result")
+        out = scratch.save(out, "result")
+    scratch.drop(flags, spans)
+    B.release(stored)
+    return out

@@ -298,14 +298,14 @@ def test_kneser_ney_counts(spark):
     order = 3
     model = kneser_ney.train(scratch, blocks.join_blocks(stored, buckets, rows), (0, 1, 2), order).collect()
     p = {(r.lang, r.k, r.code): (r.logp, r.logw) for r in model}
-    for lang in "xy":
+    for lang in ("+x", "+y"):
         for k in range(1, order + 1):
             sums: dict = {}
             for (g, kk, code), (lp, _) in p.items():
                 if (g, kk) == (lang, k) and lp is not None:  # contexts of padding only have no probability
                     sums[code >> 16] = sums.get(code >> 16, 0) + math.exp(lp)
             assert all(0 < s <= 1 + 1e-9 for s in sums.values())
-    assert abs(sum(math.exp(v[0]) for (g, k, _), v in p.items() if (g, k) == ("x", 1) and v[0] is not None) + math.exp(p["x", 0, 0][0]) - 1) < 1e-9
+    assert abs(sum(math.exp(v[0]) for (g, k, _), v in p.items() if (g, k) == ("+x", 1) and v[0] is not None) + math.exp(p["+x", 0, 0][0]) - 1) < 1e-9
 
     def logp(lang, seq):
         if not seq:
@@ -320,8 +320,8 @@ def test_kneser_ney_counts(spark):
 
     got = {r.doc_id: r for r in kneser_ney.perplexities(scratch, stored, buckets, spark.createDataFrame(model, "lang string, k int, code long, logp double, logw double"), order, (0, 1, 2), 5).collect()}
     for i, t in enumerate([*docs, "zzz"]):
-        lang = "x" if i % 4 else "y"
-        seq = [1, 1, *map(ord, t), 2]
+        lang = "+x" if i % 4 else "+y"
+        seq = [kneser_ney.BOS, kneser_ney.BOS, *map(ord, t), kneser_ney.EOS]
         want = math.exp(-sum(logp(lang, seq[j - 2 : j + 1]) for j in range(2, len(seq))) / (len(t) + 1))
         assert abs(got[i].perplexity - want) < 1e-3 * want
     assert got[len(docs) + 1].perplexity is None and got[len(docs) + 2].perplexity is None
@@ -340,3 +340,166 @@ def test_quality(spark):
     assert not have & set(range(0, 400, 10)) and {1000, 1001, 1002, None} <= have and len(have) >= 0.97 * 360
     assert kneser_ney.kept_documents(df.limit(0), ids).count() == 0
     assert kneser_ney.kept_documents(df, ids.limit(0)).count() == len(rows)
+
+
+def test_symbols_and_languages_stay_apart(spark):
+    """Marks, characters beyond U+FFFF and control characters are different symbols; null and the empty name are two languages."""
+    s = kneser_ney.symbols("\x01\x02a\U00010001\U0001f600\U0001f602\ufffd")
+    assert len(set(s.tolist())) == 7 and not {kneser_ney.BOS, kneser_ney.EOS} & set(s.tolist()) and s[2] == 97
+    rows = [(i, "alpha beta gamma " * 3, None) for i in range(40)] + [(100 + i, "zulu yankee xray " * 3, "") for i in range(40)] + [(200, "alpha beta gamma " * 3, ""), (201, "zulu yankee xray " * 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    per, stored, _ = kneser_ney.classify(df, df.where("doc_id < 200").select("doc_id"))
+    got = {r.doc_id: (r.lang, r.kept) for r in per.collect()}
+    blocks.release(stored)
+    assert got[0] == (None, True) and got[100] == ("", True) and got[200] == ("", False) and got[201] == (None, False)
+
+
+def test_counts_and_discounts_against_plain_kneser_ney(spark):
+    """Counts of continuation, the three discounts and all probabilities, worked out here from the strings alone."""
+    from collections import Counter, defaultdict
+
+    r = random.Random(5)
+    docs = ["".join(r.choice("aaabbcd ") for _ in range(r.randint(5, 60))) for _ in range(60)]
+    order = 3
+    df = spark.createDataFrame([(i, t, "x", "s", 0) for i, t in enumerate(docs)], EMPTY)
+    scratch = common.Scratch(spark, "t")
+    stored, buckets = blocks.write_blocks(scratch, df)
+    model = kneser_ney.train(scratch, blocks.join_blocks(stored, buckets, blocks.index(stored, 0).select("blk", "row")), (0, 1, 2), order).collect()
+    got = {(m.k, m.code): m.logp for m in model if m.logp is not None}
+    counts = {order: Counter()}
+    for t in docs:
+        s = [kneser_ney.BOS] * (order - 1) + [ord(c) for c in t] + [kneser_ney.EOS]
+        counts[order].update(tuple(s[j : j + order]) for j in range(len(s) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    prob: dict = {}
+    for k in range(1, order + 1):
+        n = [sum(c == i for c in counts[k].values()) for i in range(5)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0
+        d = [0.0] + [i - (i + 1) * y * n[i + 1] / n[i] if n[i] and n[1] else -1 for i in (1, 2, 3)]
+        d = [0.0] + [d[i] if 0.05 < d[i] < i else (0.5, 1.0, 1.5)[i - 1] for i in (1, 2, 3)]
+        total, cut, kinds = defaultdict(int), defaultdict(float), defaultdict(int)
+        for g, c in counts[k].items():
+            total[g[:-1]] += c
+            cut[g[:-1]] += d[min(c, 3)]
+            kinds[g[:-1]] += 1
+        for g, c in counts[k].items():
+            h = g[:-1]
+            low = prob[g[1:]] if k > 1 else 1 / (kinds[h] + 1)
+            prob[g] = (c - d[min(c, 3)]) / total[h] + cut[h] / total[h] * low
+    code = lambda g: sum(x << 16 * (len(g) - 1 - i) for i, x in enumerate(g))
+    wrap = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    import math
+
+    assert {(len(g), wrap(code(g))) for g in prob} == {k for k in got if k[0]}
+    for g, p in prob.items():
+        assert abs(math.exp(got[len(g), wrap(code(g))]) - p) < 1e-9
+    blocks.release(stored)
+
+
+def test_ids_beside_nulls(spark):
+    """A null among large ids leaves their last digits alone."""
+    big = [9007199254740993, 1152921504606846979]
+    df = spark.createDataFrame([(big[0], "a b c d"), (None, "e f g"), (big[1], "h i j k l")], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack(df).collect()} == {*big, None}
+    docs = df.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(char_length(text) as long) as n_chars")
+    assert {r.doc_id for r in mixing.mixed_documents(docs, block=2).collect()} == {*big, None}
+
+
+def test_mix_with_one_id_in_two_sources(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(10)), "s1"), (1, " ".join(f"b{i}" for i in range(12)), "s2"), (1, " ".join(f"b{i}" for i in range(12)), "s3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.source: r for r in mixing.mix(df, block=1)[0].collect()}
+    assert len(out) == 3
+    for s in out:
+        assert abs(out[s].taken - out[s].target) <= 1 and out[s].taken <= 3 * out[s].size
+    got: dict = {}
+    for r in mixing.mixed_documents(df, block=1).collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == {s: r.taken for s, r in out.items()}
+
+
+def test_hypergeometric_beyond_numpy():
+    """Exact draws where numpy's sampler ends: mean and variance, bounds, and the same law as numpy's where both work."""
+    rng = mixing.np.random.default_rng(3)
+    good, bad, take = 3 * 10**10, 7 * 10**10, 10**9
+    x = [mixing.hypergeometric(rng, good, bad, take) for _ in range(400)]
+    var = take * 0.3 * 0.7 * (1 - take / (good + bad))
+    assert abs(sum(x) / 400 - 0.3 * take) < 5 * (var / 400) ** 0.5
+    assert 0.7 < (sum((v - 0.3 * take) ** 2 for v in x) / 400) / var < 1.4
+    assert mixing.hypergeometric(rng, 5, 2 * 10**9, 2 * 10**9 + 5) == 5 and mixing.hypergeometric(rng, 5, 2 * 10**9, 0) == 0
+    assert sum(mixing.hypergeometric(rng, 10**9, 10**9, 8) for _ in range(500)) / 500 == pytest.approx(4, abs=0.4)
+
+
+def test_packing_is_joint():
+    """Total cost below that of the best single capacity on three mixes of sizes, and near the optimum on tiny ones."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    mixes = [rng.integers(1, 4097, 3000), np.concatenate([rng.integers(3000, 4000, 200), rng.integers(900, 1000, 600)]), np.concatenate([rng.integers(1300, 1700, 900), rng.integers(1100, 1400, 300), rng.integers(300, 500, 200)])]
+    total = lambda caps: float(sum(packing.cost(int(c)) for c in caps))
+    for sizes in mixes:
+        sizes = np.sort(sizes)[::-1]
+        joint = total(packing.best_fit(sizes)[2])
+        singles = []
+        for c in packing.CAPACITIES:
+            pieces = np.sort(np.concatenate([np.minimum(c, sizes - k * c)[sizes > k * c] for k in range(-(-int(sizes.max()) // c))]))[::-1]
+            singles.append(len(packing.best_fit(pieces, (c,))[2]) * packing.cost(c))
+        whole = [x for c, x in zip(packing.CAPACITIES, singles) if c >= sizes.max()]
+        assert joint < min(whole)
+    for _ in range(30):
+        caps = (8, 16, 32)
+        sizes = np.sort(rng.integers(1, 33, 6))[::-1]
+        price = lambda c: c + 2 + c * c / 256
+        best = float("inf")
+        for label in itertools.product(range(6), repeat=6):
+            if all(x <= max(label[:i], default=-1) + 1 for i, x in enumerate(label)):
+                used = [sum(int(s) for s, x in zip(sizes, label) if x == b) for b in range(max(label) + 1)]
+                if max(used) <= 32:
+                    best = min(best, sum(price(min(c for c in caps if c >= u)) for u in used))
+        bins, offset, final = packing.best_fit(sizes, caps, price)
+        got = sum(price(int(c)) for c in final)
+        assert best <= got + 1e-9 <= 1.35 * best
+
+
+def test_spans_keep_to_the_original(spark):
+    """Lower case of U+0130 is two code points; spans are in those of the text."""
+    model = languages.fit(spark.createDataFrame([(i, "the and of to in is that" if i % 2 else "и в не на что как это", "en" if i % 2 else "ru") for i in range(40)], "doc_id long, text string, lang string"))
+    text = "\u0130\u0130\u0130\u0130 the and of to и в не на что"
+    _, _, spans = languages.label_texts(model, [text], spans=True)[0]
+    assert [text[a:b] for a, b, _ in spans] == ["\u0130\u0130\u0130\u0130 the and of to", "и в не на что"]
+
+
+def test_texts_over_a_mebibyte(spark):
+    """Chunks of word hashing, several blocks and long texts beside short ones."""
+    import numpy as np
+
+    r = random.Random(3)
+    words = [f"w{r.randrange(5000)}" for _ in range(260_000)]
+    long = " ".join(words)
+    assert len(long) > 1 << 20 and len(common.word_hashes(long.encode())) == len(words)
+    tail = common.word_hashes(" ".join(words[-50:]).encode())
+    assert (common.word_hashes(long.encode())[-50:] == tail).all()
+    one = ("x" * 1_200_000).encode()
+    assert len(common.word_hashes(one + b" y " + one)) == 3
+    docs = spark.createDataFrame([(1, long, "en", "a", len(long)), (2, long + " end", "en", "a", len(long) + 4), (3, "w1 w2 w3 w4 w5 w6 w7 w8", "en", "b", 23), (4, "\n".join([long] * 2), "en", None, 0)], EMPTY)
+    got = {x.doc_id: x for x in near_duplicates.near_duplicates(docs).collect()}
+    assert got[2].component_id == 1 and got[3].kept and got[1].n_shingles == len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    gone = {x.doc_id: x for x in repeats.remove_repeats(docs).collect()}
+    assert gone[1].n_removed == 0 and gone[2].n_removed >= len(long) and gone[4].n_removed >= 2 * len(long) - 100
+    n = {x.doc_id: x["__removed"] for x in unit_dedup.remove_repeated_units(docs).collect()}
+    assert n == {1: 0, 2: 0, 3: 0, 4: 2}
+    lines = {x.doc_id: x["__removed"] for x in line_runs.drop_repeated_runs(docs, long_words=50).collect()}
+    assert lines == {1: 0, 2: 0, 3: 0, 4: 2}
+    assert sum(x.length for x in packing.pack(docs).collect()) == sum(len(t.split()) for t in (long, long + " end", "w1 w2 w3 w4 w5 w6 w7 w8", long, long))
+    taken = mixing.mix(docs)[0].collect()
+    assert all(x.taken <= 3 * x.size for x in taken) and sum(x.taken for x in taken) == pytest.approx(sum(x.size for x in taken), rel=0.02)
+    assert {x.doc_id: x.lang_pred for x in languages.identify(docs, languages.fit(docs)).collect()} == dict.fromkeys((1, 2, 3, 4), "en")
+    prints = {x.doc_id: x for x in fingerprints.edited_fingerprints(docs).collect()}
+    assert prints[2].near_next < 0.1 < 0.9 < prints[2].near_edited + 0.5 and prints[1].n_chars == len(long)
+    per, stored, _ = kneser_ney.classify(docs, docs.select("doc_id"))
+    assert {x.doc_id: x.n for x in per.collect()}[1] == len(long) + 1
+    blocks.release(stored)
+    assert np.isfinite([x.perplexity for x in per.where("perplexity is not null").collect()]).all()
