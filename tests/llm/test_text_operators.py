@@ -438,7 +438,7 @@ def test_packing_is_joint():
     import numpy as np
 
     rng = np.random.default_rng(8)
-    mixes = [rng.integers(1, 4097, 3000), np.concatenate([rng.integers(3000, 4000, 200), rng.integers(900, 1000, 600)]), np.concatenate([rng.integers(1300, 1700, 900), rng.integers(1100, 1400, 300), rng.integers(300, 500, 200)])]
+    mixes = [rng.integers(1, 4097, 3000), np.concatenate([rng.integers(3000, 4000, 200), rng.integers(900, 1000, 600)]), np.concatenate([rng.integers(1980, 2049, 400), rng.integers(3900, 4097, 200), rng.integers(480, 513, 500)])]
     total = lambda caps: float(sum(packing.cost(int(c)) for c in caps))
     for sizes in mixes:
         sizes = np.sort(sizes)[::-1]
