@@ -32,10 +32,10 @@ RADIUS, TURNS, MARGIN = 9, 72, 0.2
 #: Descriptors match at so many differing bits or less; a copy has so many votes, and this share of the query's places.
 MAX_BITS, MIN_VOTES, MIN_SHARE = 30, 8, 0.3
 #: Tables, bits of each descriptor in a key, neighbours of a corner (of the images, of the queries), least distance of a neighbour.
-TABLES, KEY_BITS, NEAR, NEAR_QUERY, APART = 2, 13, 3, 4, 5
+TABLES, KEY_BITS, NEAR, NEAR_QUERY, APART = 2, 15, 3, 4, 5
 ANGLES, RATIO, BORDER, SKETCH_BITS = 10, 1.35, 0.2, 4
 #: The query is described as it is, and scaled and turned (degrees) so.
-VARIANTS = ((1.0, 0.0), (2**-0.25, 0.0), (1.0, 5.0), (2**-0.25, 20.0), (2**-0.125, 45.0))
+VARIANTS = ((1.0, 0.0), (2**-0.25, 0.0), (1.0, 5.0), (2**-0.25, 20.0), (2**-0.125, 45.0), (2**-0.375, -10.0), (1.0, -30.0))
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("size", "<f4"), ("turn", "<f4"), ("layer", "u1"), ("bits", "u1", 32)])
 _RNG = np.random.default_rng(5)
 _PAIRS = np.clip(_RNG.normal(0, 3.6, (256, 4)), -RADIUS + 1, RADIUS - 1)
