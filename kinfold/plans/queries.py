@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import lexicon as L
 from ..functions import similarity as M
@@ -151,14 +151,15 @@ def upsert_persons(spark, sf):
     return W.upsert_persons(old, _persons(c.where("c_custkey % 3 = 0"), 2)).select("match_key", "last_name", "first_name", "canonical_fio", "in_src_projects", "in_src_hr")
 
 
-@query("""with o as (select s_nationkey as source_id, s_suppkey as source_pk, s_name as raw_fio, 'new' as match_method, s_suppkey as person_sk from supplier where s_suppkey % 2 = 0),
-n as (select s_nationkey as source_id, s_suppkey as source_pk, 'x' as raw_fio, 'exact' as match_method, s_suppkey + 1000 as person_sk from supplier where s_suppkey % 3 = 0)
+@query("""with o as (select s_nationkey as source_id, s_suppkey as source_pk, s_name as raw_fio, 'new' as match_method, s_suppkey as person_sk from supplier where s_suppkey % 3 <> 0),
+n as (select s_nationkey as source_id, s_suppkey as source_pk, 'x' as raw_fio, 'exact' as match_method, s_suppkey + 1000 as person_sk from supplier where s_suppkey % 2 = 0 or s_suppkey % 3 = 0)
 select coalesce(o.source_id, n.source_id) as source_id, coalesce(o.source_pk, n.source_pk) as source_pk, coalesce(o.raw_fio, n.raw_fio) as raw_fio, coalesce(o.person_sk, n.person_sk) as person_sk, coalesce(n.match_method, o.match_method) as match_method
 from o full join n on o.source_id = n.source_id and o.source_pk = n.source_pk""")
 def upsert_aliases(spark, sf):
     s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("source_id"), F.col("s_suppkey").alias("source_pk"), "s_name", F.col("s_suppkey").alias("seq"), F.lit(1.0).cast("decimal(5,4)").alias("match_score"))
-    a = s.where("source_pk % 2 = 0").withColumns({"raw_fio": F.col("s_name"), "match_method": F.lit("new"), "person_sk": F.col("source_pk")})
-    b = s.where("source_pk % 3 = 0").withColumns({"raw_fio": F.lit("x"), "match_method": F.lit("exact"), "person_sk": F.col("source_pk") + 1000})
+    # Two batches that together hold all suppliers, and some of them twice.
+    a = s.where("source_pk % 3 <> 0").withColumns({"raw_fio": F.col("s_name"), "match_method": F.lit("new"), "person_sk": F.col("source_pk")})
+    b = s.where("source_pk % 2 = 0 or source_pk % 3 = 0").withColumns({"raw_fio": F.lit("x"), "match_method": F.lit("exact"), "person_sk": F.col("source_pk") + 1000})
     return W.upsert_aliases(W.upsert_aliases(None, a), b).select("source_id", "source_pk", "raw_fio", "person_sk", "match_method")
 
 
@@ -196,9 +197,9 @@ def _words(spark, sf) -> DataFrame:
     return table(spark, sf, "documents").select(F.explode(F.split("text", "[^A-Za-zÀ-ÿ]+")).alias("w")).distinct().where("w <> ''")
 
 
-@query(f"""select w, regexp_replace(translate(lower(w), 'ёэйы', 'ееии'), '[^а-яa-z]', '', 'g') as folded, replace(lower(w), 'ё', 'е') as normal, upper(w[1]) || lower(w[2:]) as capped from ({_WORDS}) where w <> '' and w not like '%ß%'""")
+@query(f"""select w, regexp_replace(translate(lower(w), 'ёэйы', 'ееии'), '[^а-яa-z]', '', 'g') as folded, replace(lower(w), 'ё', 'е') as normal, case w[1] when 'ß' then 'SS' else upper(w[1]) end || lower(w[2:]) as capped from ({_WORDS}) where w <> ''""")
 def text_case(spark, sf):
-    return _words(spark, sf).where("w not like '%ß%'").select("w", T.fold("w").alias("folded"), T.norm("w").alias("normal"), T.cap("w").alias("capped"))
+    return _words(spark, sf).select("w", T.fold("w").alias("folded"), T.norm("w").alias("normal"), T.cap("w").alias("capped"))
 
 
 _ROMAN_SQL = "regexp_extract_all(lower(w), '(?:" + "|".join(a for a, _ in L.ROMAN_RULES) + "|(?s:.))')"
@@ -225,33 +226,48 @@ def keyboard_layout(spark, sf):
     return _words(spark, sf).select("w", T.fix_layout("w").alias("fixed"))
 
 
-@query("""select doc_id, len(list_filter(string_split_regex(regexp_replace(translate(text, ',;()[]', '      '), '\\s-\\s', ' ', 'g'), '\\s+'), lambda t: t <> '' and t <> '-')) as n from documents where text not like '% - %'""")
+@query("""select doc_id, len(list_filter(string_split_regex(regexp_replace(translate(text, ',;()[]', '      '), '\\s-\\s', ' ', 'g'), '\\s+'), lambda t: t <> '' and t <> '-')) as n from documents""")
 def token_counts(spark, sf):
-    d = table(spark, sf, "documents").where("text not like '% - %'")
+    d = table(spark, sf, "documents")
     return d.select("doc_id", F.size(T.tokens(T.soften_punctuation("text"))).cast("long").alias("n"))
 
 
-@query("""with n as (select distinct p_name from part), p as (select a.p_name as a, b.p_name as b from n a join n b on a.p_name < b.p_name)
-select a, b, round(case when levenshtein(a, b) = 0 then 1.0 else 1.0 - levenshtein(a, b) / greatest(length(a), length(b)) end, 6) as plain, length(a) as la from p""")
-def edit_similarity(spark, sf):
-    n = table(spark, sf, "part").select("p_name").distinct()
-    a, b = n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b"))
-    d = F.levenshtein("a", "b")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(1 - d / F.greatest(F.length("a"), F.length("b")), 6).alias("plain"), F.length("a").cast("long").alias("la"))
+#: Each part's name and the next one's within its brand: pairs from the whole table, without a join.
+_PAIRS = "(select distinct a, b from (select p_name as a, lead(p_name) over (partition by p_brand order by p_partkey) as b from part) where b is not null)"
 
+#: Optimal string alignment by diagonals of the table of distances: d1 is the last diagonal, d2 to d4 those before; entry i + 1 of
+#: diagonal k is the distance of the first i letters of a and the first k - i of b.
+_OSA = f"""with recursive r as (select a, b, 0 as k, list_transform(range(0, length(a) + 1), lambda i: case when i = 0 then 0 end) as d1, cast([] as bigint[]) as d2, cast([] as bigint[]) as d3, cast([] as bigint[]) as d4 from {_PAIRS}
+union all select a, b, k + 1, list_transform(range(0, length(a) + 1), lambda i: case when i > k + 1 or k + 1 - i > length(b) then null when i = 0 or i = k + 1 then k + 1 else
+least(d1[i] + 1, d1[i + 1] + 1, d2[i] + cast(a[i] <> b[k + 1 - i] as int), case when i > 1 and k + 1 - i > 1 and a[i] = b[k - i] and a[i - 1] = b[k + 1 - i] then d4[i - 1] + 1 end) end), d1, d2, d3
+from r where k < length(a) + length(b)), d as (select a, b, d1[length(a) + 1] as osa from r where k = length(a) + length(b))"""
 
-@query()
-def jaro_winkler(spark, sf):
-    n = table(spark, sf, "part").select("p_name").distinct()
-    a, b = n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(M.jaro_winkler_similarity("a", "b"), 4).alias("jw"))
 
+def _name_pairs(spark, sf) -> DataFrame:
+    follow = F.lead("p_name").over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    return table(spark, sf, "part").select(F.col("p_name").alias("a"), follow.alias("b")).where("b is not null").distinct()
 
-@query()
+
+@query(_OSA + " select a, b, round(case when greatest(length(a), length(b)) = 0 then 1.0 else 1.0 - osa / greatest(length(a), length(b)) end, 6) as similarity from d")
+def edit_similarity(spark, sf):
+    return _name_pairs(spark, sf).select("a", "b", F.round(M.osa_similarity("a", "b"), 6).alias("similarity"))
+
+
+@query(_OSA + " select a, b, cast(osa as integer) as osa from d")
 def osa_distance(spark, sf):
-    n = table(spark, sf, "part").select("p_name").distinct()
-    a, b = n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", M.osa_distance("a", "b").alias("osa"))
+    return _name_pairs(spark, sf).select("a", "b", M.osa_distance("a", "b").alias("osa"))
+
+
+@query(f"""with recursive r as (select a, b, 0 as i, cast([] as bigint[]) as used, '' as lefts from {_PAIRS}
+union all select a, b, i + 1, case when j is null then used else list_append(used, j) end, case when j is null then lefts else lefts || a[i + 1] end from (
+select *, list_filter(range(greatest(1, i + 1 - reach), least(length(b), i + 1 + reach) + 1), lambda j: b[j] = a[i + 1] and not list_contains(used, j))[1] as j
+from (select *, greatest(length(a), length(b)) // 2 - 1 as reach from r where i < length(a)))),
+m as (select a, b, len(used) as m, lefts, list_aggregate(list_transform(list_sort(used), lambda j: b[j]), 'string_agg', '') as rights from r where i = length(a)),
+j as (select *, case when m = 0 then 0.0 else (cast(m as double) / length(a) + cast(m as double) / length(b) + (m - len(list_filter(range(1, m + 1), lambda k: lefts[k] <> rights[k])) / 2.0) / m) / 3.0 end as jaro,
+case when a[1] <> b[1] then 0 when a[2] <> b[2] then 1 when a[3] <> b[3] then 2 when a[4] <> b[4] then 3 else 4 end as same from m)
+select a, b, round(case when a = b then 1.0 when m = 0 then 0.0 else jaro + same * 0.1 * (1.0 - jaro) end, 4) as jw from j""")
+def jaro_winkler(spark, sf):
+    return _name_pairs(spark, sf).select("a", "b", F.round(M.jaro_winkler_similarity("a", "b"), 4).alias("jw"))
 
 
 # ---- persons -------------------------------------------------------------------------------------------------
