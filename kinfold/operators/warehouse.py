@@ -87,6 +87,17 @@ def dim_person_resume(t: dict[str, DataFrame], aliases: DataFrame) -> DataFrame:
     return r.groupBy("person_sk").agg(latest.alias("x")).select("person_sk", "x.*")
 
 
+def unresolved(t: dict[str, DataFrame], aliases: DataFrame) -> DataFrame:
+    """(fact, n_rows, persons): source rows of each fact whose person is in review, so that no person_sk stands for them yet.  They enter
+    the facts with the run after the steward's decision; until then this table accounts for them."""
+    out = None
+    for fact, name, source, key in (("fact_assignment", "assignment", 1, "emp_id"), ("fact_compensation", "compensation", 2, "person_id"), ("fact_person_competency", "person_competency", 2, "person_id"), ("dim_person_resume", "resume", 2, "person_id")):
+        gone = t[name].join(_persons(aliases, source, key), key, "left_anti")
+        row = gone.agg(F.count("*").alias("n_rows"), F.count_distinct(key).alias("persons")).select(F.lit(fact).alias("fact"), "n_rows", "persons")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def pay_and_load(assignments: DataFrame, pay: DataFrame) -> DataFrame:
     """Assignments and pay by person; each fact is brought to the person's grain before they meet."""
     a = assignments.groupBy("person_sk").agg(F.count("*").alias("assignments"), F.sum("allocation_pct").alias("allocation_pct"))

@@ -29,7 +29,7 @@ def build(spark: SparkSession, t: dict[str, DataFrame], rules: Rules = Rules(),
         d = {k: checkpointed(v) for k, v in W.dimensions(t).items()}
         out |= d | {
             "bridge_project_technology": W.bridge_project_technology(t, d), "fact_assignment": W.fact_assignment(t, d, alias), "fact_compensation": W.fact_compensation(t, alias),
-            "fact_person_competency": W.fact_person_competency(t, d, alias), "dim_person_resume": W.dim_person_resume(t, alias),
+            "fact_person_competency": W.fact_person_competency(t, d, alias), "dim_person_resume": W.dim_person_resume(t, alias), "etl_unresolved": W.unresolved(t, alias),
         }
     return out
 

@@ -55,18 +55,18 @@ def ordered_lists(spark, sf):
     """Suppliers of each brand, those of small parts first: a three-way join and an ordered string aggregate."""
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    b = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().join(p, "l_partkey").join(s, "l_suppkey")
-    b = b.groupBy("p_brand", "s_name").agg(F.max((F.col("p_size") < 10).cast("int")).alias("is_core"))
-    return b.groupBy("p_brand").agg(F.expr("listagg(s_name, ', ') within group (order by is_core desc, s_name)").alias("stack"))
+    b = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey").distinct().join(p, "l_partkey")
+    b = b.groupBy(F.col("p_brand").alias("project_id"), F.col("l_suppkey").alias("tech_id")).agg(F.max((F.col("p_size") < 10).cast("int")).alias("is_core"))
+    return W.tech_stack(b, s.select(F.col("l_suppkey").alias("tech_id"), F.col("s_name").alias("tech_name"))).select(F.col("project_id").alias("p_brand"), F.col("tech_stack").alias("stack"))
 
 
-@query("""select c_mktsegment, cast(round(sum(cast(round(o_totalprice * 100) as bigint)) / count(*) / 300.0) as double) as avg_monthly, count(*) as n
-from customer join orders on c_custkey = o_custkey group by 1 order by 2 desc, 1""")
+@query("""select c_mktsegment as position_title, round(sum(cast(round(o_totalprice * 100) as bigint)) / count(*) / 300.0) as avg_monthly_salary, round(sum(o_custkey) / count(*)) as avg_quarter_bonus
+from customer join orders on c_custkey = o_custkey group by 1""")
 def averages_by_group(spark, sf):
-    """Average over exact cents, a third of it, rounded: order of summation can't change it."""
-    j = table(spark, sf, "customer").select("c_custkey", "c_mktsegment").join(table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice"), "c_custkey")
-    cents = F.round(F.col("o_totalprice") * 100).cast("long")
-    return j.groupBy("c_mktsegment").agg(F.round(F.sum(cents) / F.count("*") / 300).alias("avg_monthly"), F.count("*").alias("n")).orderBy(F.desc("avg_monthly"), "c_mktsegment")
+    """The report of pay by position, of customers' orders by segment; decimals, so the order of summation can't change it."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("person_id"), F.col("c_mktsegment").alias("position_title"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("person_id"), F.col("o_totalprice").cast("decimal(12,2)").alias("salary"), F.col("o_custkey").cast("decimal(12,2)").alias("bonus"))
+    return reports.pay_by_position(c, o).select("position_title", F.col("avg_monthly_salary").cast("double").alias("avg_monthly_salary"), F.col("avg_quarter_bonus").cast("double").alias("avg_quarter_bonus"))
 
 
 @query("select p_type, count(*) as n from part group by 1 order by 2 desc, 1")
@@ -86,15 +86,45 @@ def best_and_runner_up(spark, sf):
     return j.withColumn("gap", F.col("q") - F.col("runner_up"))
 
 
-@query("""with a as (select o_custkey, count(*) as orders, sum(cast(round(o_totalprice * 100) as bigint)) as cents from orders group by 1),
-b as (select o_custkey, sum(l_quantity) as quantity from lineitem join orders on l_orderkey = o_orderkey group by 1)
-select a.o_custkey, orders, cast(cents as bigint) as cents, quantity from a join b on a.o_custkey = b.o_custkey""")
+@query("""with a as (select o_custkey as person_sk, count(*) as assignments, sum(cast(l_quantity as bigint)) as allocation_pct from lineitem join orders on l_orderkey = o_orderkey group by 1),
+b as (select o_custkey as person_sk, sum(cast(round(o_totalprice * 100) as bigint)) as cents, count(*) as n from orders group by 1)
+select a.person_sk, assignments, cast(allocation_pct as bigint) as allocation_pct, cast(cents as bigint) as total_cents, round(cents / n / 100.0) as avg_quarter_pay from a join b on a.person_sk = b.person_sk""")
 def facts_per_person(spark, sf):
-    """Two facts brought to one grain before they meet."""
+    """Two facts brought to one grain before they meet: lines as assignments, orders as pay."""
     o = table(spark, sf, "orders")
-    a = o.groupBy("o_custkey").agg(F.count("*").alias("orders"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
-    b = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity").join(o.select("o_orderkey", "o_custkey"), "o_orderkey").groupBy("o_custkey").agg(F.sum("l_quantity").alias("quantity"))
-    return a.join(b, "o_custkey")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_quantity").cast("long").alias("allocation_pct"))
+    load = lines.join(o.select("o_orderkey", F.col("o_custkey").alias("person_sk")), "o_orderkey")
+    j = W.pay_and_load(load, o.select(F.col("o_custkey").alias("person_sk"), F.col("o_totalprice").cast("decimal(13,2)").alias("total_pay")))
+    return j.select("person_sk", "assignments", "allocation_pct", (F.col("total_pay") * 100).cast("long").alias("total_cents"), F.round("avg_quarter_pay").cast("double").alias("avg_quarter_pay"))
+
+
+@query("""select l_orderkey * 10 + l_linenumber as src_assignment_id, s_suppkey + 100 as person_sk, p.sk as project_sk, cast(l_linenumber as integer) as role_sk,
+cast(strftime(l_shipdate, '%Y%m%d') as bigint) as date_from_key, cast(strftime(l_shipdate + interval 30 day, '%Y%m%d') as bigint) as date_to_key, cast(l_quantity as integer) as allocation_pct from lineitem join supplier on s_suppkey = l_suppkey and s_nationkey < 20
+join (select p_partkey, cast(row_number() over (order by p_partkey) as integer) as sk from part) p on p_partkey = l_partkey""")
+def assignment_facts(spark, sf):
+    """Lines as assignments of suppliers to parts; suppliers of some nations are persons in review, without a key.  (Line numbers
+    repeat within an order here, so rows have no order of their own, and the number that they get is left out.)"""
+    lines = table(spark, sf, "lineitem")
+    t = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("assignment_id"), F.col("l_suppkey").alias("emp_id"), F.col("l_partkey").alias("project_id"), F.col("l_linenumber").alias("role_id"), F.col("l_quantity").cast("short").alias("allocation_pct"), F.col("l_shipdate").alias("date_from"), F.date_add("l_shipdate", 30).alias("date_to"))
+    roles = lines.select(F.col("l_linenumber").alias("role_id")).distinct()
+    d = {"dim_project": W.dimension(table(spark, sf, "part"), "p_partkey", "project_sk", {"p_partkey": "src_project_id"}), "dim_role": W.dimension(roles, "role_id", "role_sk", {"role_id": "src_role_id"})}
+    return W.fact_assignment({"assignment": t}, d, _aliases(spark, sf)).drop("assignment_sk").withColumn("allocation_pct", F.col("allocation_pct").cast("int"))
+
+
+@query("""select 'fact_assignment' as fact, count(*) as n_rows, count(distinct l_suppkey) as persons from lineitem where l_suppkey in (select s_suppkey from supplier where s_nationkey >= 20)
+union all select 'fact_compensation', count(*), count(distinct o_custkey) from orders where o_custkey % 5 = 0
+union all select 'fact_person_competency', count(*), count(distinct o_custkey) from orders where o_custkey % 5 = 0
+union all select 'dim_person_resume', count(*), count(distinct c_custkey) from customer where c_custkey % 5 = 0""")
+def unresolved_facts(spark, sf):
+    """Rows of all facts whose person is in review: suppliers of some nations, every fifth customer."""
+    c = table(spark, sf, "customer").select(F.lit(2).alias("source_id"), F.col("c_custkey").alias("source_pk"), F.col("c_custkey").alias("person_sk")).where("source_pk % 5 <> 0")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("person_id"))
+    t = {"assignment": table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("emp_id")), "compensation": o, "person_competency": o, "resume": table(spark, sf, "customer").select(F.col("c_custkey").alias("person_id"))}
+    return W.unresolved(t, _aliases(spark, sf).unionByName(c))
+
+
+def _aliases(spark, sf) -> DataFrame:
+    return table(spark, sf, "supplier").where("s_nationkey < 20").select(F.lit(1).alias("source_id"), F.col("s_suppkey").alias("source_pk"), (F.col("s_suppkey") + 100).alias("person_sk"))
 
 
 # ---- warehouse -----------------------------------------------------------------------------------------------
