@@ -194,3 +194,11 @@ def current(spark: SparkSession, root: str) -> str | None:
         if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             return json.loads(spark.read.text(f"{root}/{name}").first()[0])["run"]
     return None
+
+
+def save_catalog(spark: SparkSession, database: str, tables: dict[str, DataFrame]) -> None:
+    """The tables as managed tables of a database made anew: what it held before is dropped."""
+    spark.sql(f"drop database if exists `{database}` cascade")
+    spark.sql(f"create database `{database}`")
+    for name, df in tables.items():
+        df.write.format("parquet").saveAsTable(f"`{database}`.`{name}`")

@@ -313,6 +313,21 @@ def generated_names(spark, sf):
     return _registries(spark, sf)[2]
 
 
+@query("""select count(*) as employees, 0 as over_budget, 0 as outside, 0 as twice from customer""")
+def generated_assignments(spark, sf):
+    """Assignments drawn for every customer as an employee, to orders' days as projects: none over its budget of working time, outside its
+    project's days, or twice in one project."""
+    staff = table(spark, sf, "customer").select(F.col("c_custkey").alias("emp_id"), F.lower("c_mktsegment").alias("specialisation"))
+    roles = staff.groupBy("specialisation").agg(F.array(F.lit(1), F.lit(2)).alias("role_ids"))
+    end = F.when(F.col("s_suppkey") % 2 == 0, F.lit("2026-03-31").cast("date"))
+    projects = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("project_id"), F.lit("2025-01-01").cast("date").alias("start_date"), end.alias("end_date"))
+    a = generate.assignments(staff, projects, roles).join(projects, "project_id")
+    last = F.coalesce("end_date", F.lit("2026-07-01").cast("date"))
+    bad = (F.col("date_from") < F.col("start_date")) | (F.col("date_to") > last) | (F.col("date_to") < F.col("date_from"))
+    per = a.groupBy("emp_id").agg(F.sum("allocation_pct").alias("share"), F.count_if(bad).alias("outside"), (F.count("*") - F.count_distinct("project_id")).alias("twice"))
+    return per.agg(F.count("*").alias("employees"), F.count_if(F.col("share") > 100).cast("int").alias("over_budget"), F.sum("outside").cast("int").alias("outside"), F.sum("twice").cast("int").alias("twice"))
+
+
 @query()
 def parsed_names(spark, sf):
     a, b, _ = _registries(spark, sf)

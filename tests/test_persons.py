@@ -141,3 +141,30 @@ def test_stream(spark, registries, tmp_path):
     at = W.current(spark, str(tmp_path / "dw"))
     assert spark.read.parquet(f"{at}/records").count() == 40
     assert spark.read.parquet(f"{at}/dim_person_alias").count() + spark.read.parquet(f"{at}/etl_review_queue").count() >= 40
+
+
+def test_generated_databases(spark):
+    """Weights, the budget of working time, days within projects, grades and levels; and the tables in a database made anew."""
+    got = {r.v: r["count"] for r in spark.range(20000).select(generate.weighted(("a", "b", "c"), (5, 3, 2), generate.F.col("id"), 7).alias("v")).groupBy("v").count().collect()}
+    assert abs(got["a"] / 20000 - 0.5) < 0.02 and abs(got["b"] / 20000 - 0.3) < 0.02 and sum(got.values()) == 20000
+    staff = spark.range(1, 301).selectExpr("id as emp_id", "if(id % 2 = 0, 'dev', 'qa') as specialisation")
+    projects = spark.sql("select id as project_id, date'2024-01-01' as start_date, if(id < 5, date'2025-06-30', null) as end_date from range(1, 9)")
+    roles = spark.sql("select 'dev' as specialisation, array(1, 2) as role_ids union all select 'qa', array(3)")
+    a = generate.assignments(staff, projects, roles).cache()
+    assert sorted(map(str, a.collect())) == sorted(map(str, generate.assignments(staff.repartition(3), projects, roles).collect()))
+    assert a.select("emp_id").distinct().count() == 300 and a.groupBy("emp_id", "project_id").count().where("count > 1").isEmpty()
+    per = a.groupBy("emp_id").agg({"allocation_pct": "sum", "*": "count"}).toDF("emp_id", "share", "n").toPandas()
+    assert per.share.max() <= 100 and per.n.max() == 3 and per.n.min() == 1
+    j = a.join(projects, "project_id")
+    assert j.where("date_from < start_date or date_from > date_sub(coalesce(end_date, date'2026-07-01'), 60) or date_to < date_add(date_from, 30) or date_to > coalesce(end_date, date'2026-07-01')").isEmpty()
+    assert j.where("end_date is not null and date_to is null").isEmpty() and 0.6 < j.where("end_date is null").selectExpr("avg(cast(date_to is null as int))").first()[0] < 0.8
+    assert a.join(staff, "emp_id").where("(specialisation = 'qa') <> (role_id = 3)").isEmpty()
+    persons = spark.range(1, 201).selectExpr("id as person_id")
+    r = generate.resumes(persons, generate.choice(("dev", "qa"), generate.F.col("person_id"), 1)).cache()
+    assert r.where("total_experience_years not between 1 and 15 or (total_experience_years < 3) <> startswith(position_title, 'Junior')").isEmpty() and r.count() == 200
+    c = generate.competencies(r, spark.sql("select id as competency_id, if(id < 5, 'dev', 'qa') as title from range(1, 9)"))
+    assert c.join(r, "person_id").where("level not between 1 and 5 or years_exp < 0.5 or years_exp > total_experience_years").isEmpty() and 0.78 < c.count() / 800 < 0.92
+    for _ in range(2):
+        W.save_catalog(spark, "kinfold_test", {"assignment": a, "resume": r})
+    assert spark.table("kinfold_test.assignment").count() == a.count() and {t.name for t in spark.catalog.listTables("kinfold_test")} == {"assignment", "resume"}
+    spark.sql("drop database kinfold_test cascade")
