@@ -7,7 +7,7 @@ noise in plain areas changes none.
 
 Two images meet in Hamming tables.  A corner alone says little (all corners of plain shapes look alike), so a key stands for a corner
 and two of its neighbours: some bits of the three descriptors and where the neighbours lie as the corner sees them.  Further
-bits of the three must agree but for SKETCH_BITS, which the join itself tests.  The queries carry the cost of whatever
+bits of the three must agree but for SKETCH_BITS, and the neighbours' places to an eighth or so; the join itself tests both.  The queries carry the cost of whatever
 moves a key: borders of cells are probed on both sides, and a query is described at half a step of scale and a slight turn as
 well.  Image pairs with two such hits are candidates.  For these, all descriptors are compared, each hit proposes a similarity
 transform (scale, turn, shift), it is fitted to the matches that agree, and the places that agree are the votes.
@@ -32,8 +32,10 @@ RADIUS, TURNS, MARGIN = 9, 72, 0.2
 #: Descriptors match at so many differing bits or less; a copy has so many votes, and this share of the query's places.
 MAX_BITS, MIN_VOTES, MIN_SHARE = 30, 8, 0.3
 #: Tables, bits of each descriptor in a key, neighbours of a corner (of the images, of the queries), least distance of a neighbour.
-TABLES, KEY_BITS, NEAR, NEAR_QUERY, APART = 2, 15, 3, 4, 5
-ANGLES, RATIO, BORDER, SKETCH_BITS = 10, 1.35, 0.2, 4
+TABLES, KEY_BITS, NEAR, NEAR_QUERY, APART = 2, 13, 3, 4, 5
+ANGLES, RATIO, BORDER, SKETCH_BITS = 10, 1.35, 0.2, 5
+#: Steps of a cell in which the neighbours' places are kept, and steps by which they may differ.
+STEPS, SHIFT = 16, 6
 #: The query is described as it is, and scaled and turned (degrees) so.
 VARIANTS = ((1.0, 0.0), (2**-0.25, 0.0), (1.0, 5.0), (2**-0.25, 20.0), (2**-0.125, 45.0), (2**-0.375, -10.0), (1.0, -30.0))
 POINT = np.dtype([("x", "<f4"), ("y", "<f4"), ("size", "<f4"), ("turn", "<f4"), ("layer", "u1"), ("bits", "u1", 32)])
@@ -149,8 +151,9 @@ def points(image: np.ndarray, variant: int = 0) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, POINT)
 
 
-def keys(p: np.ndarray, table: int, query: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, sketch, corner) of a table: one for each corner and pair of its neighbours, with ``query`` at both sides of close borders."""
+def keys(p: np.ndarray, table: int, query: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, sketch, fine, corner) of a table: one for each corner and pair of its neighbours, with ``query`` at both sides of close
+    borders.  fine: where the neighbours lie, in STEPS of a cell, a byte for each distance and angle."""
     words = np.ascontiguousarray(p["bits"]).view(">u8").astype(np.uint64).reshape(len(p), 4)
     place, turn = (p["x"] + 1j * p["y"]) * p["size"], p["turn"]
     near, trios = NEAR_QUERY if query else NEAR, [np.empty((0, 3), np.int64)]
@@ -178,17 +181,20 @@ def keys(p: np.ndarray, table: int, query: bool = False) -> tuple[np.ndarray, np
     for x in (a, b, c):
         code = (code << np.uint64(KEY_BITS)) | ((words[x, table // 4] >> np.uint64(64 - KEY_BITS * (table % 4 + 1))) & np.uint64((1 << KEY_BITS) - 1))
         sketch = (sketch << np.uint64(21)) | (words[x, 3] >> np.uint64(43))
+    fine = np.zeros(len(a), np.int64)
+    for i, g in enumerate(where):
+        fine = fine << 8 | np.round(g * STEPS).astype(np.int64) % (ANGLES * STEPS if i > 1 else 256)
     cells = []
     for i, g in enumerate(where):
         n = ANGLES if i > 1 else 64
         cells.append([(np.floor(g + s).astype(np.int64) % n).astype(np.uint64) * np.uint64(64**i) for s in ((-BORDER, BORDER) if query else (0,))])
     key = np.concatenate([mix64(code ^ mix64(sum(x))) for x in itertools.product(*cells)])
     times = len(key) // max(1, len(a))
-    sketch, corner = np.tile(sketch, times), np.tile(a, times)
+    sketch, fine, corner = (np.tile(x, times) for x in (sketch, fine, a))
     if query:  # both sides of a border that is not close are one
-        _, first = np.unique(key ^ mix64(sketch ^ mix64(corner.astype(np.uint64))), return_index=True)
-        key, sketch, corner = key[first], sketch[first], corner[first]
-    return key, sketch, corner
+        _, first = np.unique(key ^ mix64(sketch ^ mix64(fine.astype(np.uint64) ^ mix64(corner.astype(np.uint64)))), return_index=True)
+        key, sketch, fine, corner = key[first], sketch[first], fine[first], corner[first]
+    return key, sketch, fine, corner
 
 
 def poses(p: np.ndarray) -> np.ndarray:
@@ -289,17 +295,17 @@ def distinct_images(described: DataFrame) -> DataFrame:
 
 
 def table_rows(images: DataFrame, table: int, query: bool) -> DataFrame:
-    """(key, sketch, n, pose) of a Hamming table, see keys."""
+    """(key, sketch, fine, n, pose) of a Hamming table, see keys."""
 
     def run(batches):
         for batch in batches:
             for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 p = np.frombuffer(blob.as_py(), POINT)
-                key, sketch, corner = keys(p, table, query)
+                key, sketch, fine, corner = keys(p, table, query)
                 if len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sketch.view(np.int64)), pa.array(np.full(len(key), n, np.int64)), pa.array(poses(p)[corner])], ["key", "sketch", "n", "pose"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sketch.view(np.int64)), pa.array(fine), pa.array(np.full(len(key), n, np.int64)), pa.array(poses(p)[corner])], ["key", "sketch", "fine", "n", "pose"])
 
-    return images.select("n", "points").mapInArrow(run, "key long, sketch long, n long, pose long")
+    return images.select("n", "points").mapInArrow(run, "key long, sketch long, fine long, n long, pose long")
 
 
 def candidates(scratch: Scratch, asks: DataFrame, base: DataFrame) -> DataFrame:
@@ -307,11 +313,16 @@ def candidates(scratch: Scratch, asks: DataFrame, base: DataFrame) -> DataFrame:
 
     The tables are joined one by one, so that the files of one at a time are on disk.  A frequent key has no limit: the sort-merge
     join's large partitions are split at run time, and the test of the sketches is part of the join."""
+    part = lambda c, i: F.shiftright(c, 8 * (3 - i)).bitwiseAND(F.lit(255))
+    turn, fine = ANGLES * STEPS, F.lit(True)
+    for i in range(4):
+        n = 256 if i < 2 else turn  # steps around, of a distance and of an angle
+        fine &= F.pmod(part("qf", i) - part("bf", i) + SHIFT, F.lit(n)) <= 2 * SHIFT
     met = []
     for k in range(TABLES):
-        a = table_rows(asks, k, True).select("key", F.col("sketch").alias("qs"), F.col("n").alias("q"), F.col("pose").alias("qp"))
-        b = table_rows(base, k, False).select("key", F.col("sketch").alias("bs"), "n", F.col("pose").alias("bp"))
-        on = (a.key == b.key) & (F.bit_count(F.col("qs").bitwiseXOR(F.col("bs"))) <= SKETCH_BITS)
+        a = table_rows(asks, k, True).select("key", F.col("sketch").alias("qs"), F.col("fine").alias("qf"), F.col("n").alias("q"), F.col("pose").alias("qp"))
+        b = table_rows(base, k, False).select("key", F.col("sketch").alias("bs"), F.col("fine").alias("bf"), "n", F.col("pose").alias("bp"))
+        on = (a.key == b.key) & (F.bit_count(F.col("qs").bitwiseXOR(F.col("bs"))) <= SKETCH_BITS) & fine
         met.append(scratch.save(a.hint("merge").join(b, on).select("q", "n", "qp", "bp"), f"met{k}"))
     every = met[0]
     for x in met[1:]:
