@@ -498,7 +498,8 @@ def test_texts_over_a_mebibyte(spark):
     assert all(x.taken <= 3 * x.size for x in taken) and sum(x.taken for x in taken) == pytest.approx(sum(x.size for x in taken), rel=0.02)
     assert {x.doc_id: x.lang_pred for x in languages.identify(docs, languages.fit(docs)).collect()} == dict.fromkeys((1, 2, 3, 4), "en")
     prints = {x.doc_id: x for x in fingerprints.edited_fingerprints(docs).collect()}
-    assert prints[2].near_next < 0.1 < 0.9 < prints[2].near_edited + 0.5 and prints[1].n_chars == len(long)
+    # The next document by falling id is nearly the same; the edited text lacks its last third.
+    assert prints[2].near_next > 0.9 and 0.5 < prints[2].near_edited < 0.85 and prints[1].n_chars == len(long)
     per, stored, _ = kneser_ney.classify(docs, docs.select("doc_id"))
     assert {x.doc_id: x.n for x in per.collect()}[1] == len(long) + 1
     blocks.release(stored)
