@@ -50,6 +50,11 @@ class Scratch:
                     p.getFileSystem(conf).delete(p, True)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """The side of a join that else might be gathered by the driver and broadcast; both sides are shuffled and sorted instead."""
+    return df.hint("merge")
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, lengthened until df has no such column."""
     have = {c.lower() for c in df.columns}
@@ -171,9 +176,9 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         seen = mark
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(by_merge(low), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
+        small = large.join(by_merge(least), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
         nxt = small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
         old, now = now, scratch.save(nxt, "edges")
         scratch.drop(old)

@@ -17,7 +17,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, components, constants, mix64, shingles
+from .common import Scratch, by_merge, components, constants, mix64, shingles
 
 
 def signatures(docs: DataFrame, width: int, collections: int, rows: int) -> DataFrame:
@@ -63,14 +63,14 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (p, q) that are similar enough on their full sets, as (a, b)."""
     x, y = sets.select(F.col("id").alias("p"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("q"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(y, "q").join(x, "p").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select(F.col("p").alias("a"), F.col("q").alias("b"))
+    return pairs.join(by_merge(y), "q").join(by_merge(x), "p").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
 
 def shingle_counts(sets: DataFrame, counters: int) -> np.ndarray:
-    """How often shingles occur in the sets, by hash, in a fixed number of counters.
+    """How often shingles occur in the sets, by hash, in a fixed number of counters: levels of one byte, eight to a doubling.
 
     A task adds up its own and sends one compressed array; these are added in up to 64 groups, then over the groups, and one
-    array comes to the driver.
+    array of levels comes to the driver, a byte for each counter.  Levels keep the order of the counts but for ties.
     """
 
     def count(batches):
@@ -84,11 +84,15 @@ def shingle_counts(sets: DataFrame, counters: int) -> np.ndarray:
         total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in frame["blob"])
         return pd.DataFrame({"g": [0], "blob": [zstandard.compress(total.tobytes())]})
 
+    def level(frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in frame["blob"])
+        return pd.DataFrame({"g": [0], "blob": [zstandard.compress(np.minimum(255, np.rint(8 * np.log2(1 + total))).astype(np.uint8).tobytes())]})
+
     parts = sets.select("shingles").mapInArrow(count, "g long, blob binary")
-    for _ in range(2):
-        parts = parts.groupBy("g").applyInPandas(add, "g long, blob binary")
+    for f in (add, level):
+        parts = parts.groupBy("g").applyInPandas(f, "g long, blob binary")
     got = parts.first()
-    return np.frombuffer(zstandard.decompress(got.blob), np.int64) if got else np.zeros(counters, np.int64)
+    return np.frombuffer(zstandard.decompress(got.blob), np.uint8) if got else np.zeros(counters, np.uint8)
 
 
 def remaining_pairs(scratch: Scratch, sets: DataFrame, percent: int, counters: int | None = None, step: float = 1.04) -> DataFrame:
@@ -96,7 +100,7 @@ def remaining_pairs(scratch: Scratch, sets: DataFrame, percent: int, counters: i
 
     Two sets of sizes m and n are similar enough only if they share at least c = percent / (100 + percent) * (m + n) shingles, so
     in any fixed order of the shingles they share one among the first m - c + 1 of the one and the first n - c + 1 of the other.
-    The order is rarest first (counts by hash; as many counters as there are shingles, between 2**18 and 2**23, so at most 64 MB
+    The order is rarest first (counts by hash; as many counters as there are shingles, between 2**18 and 2**23, so at most 8 MB
     are broadcast; more shingles share counters, which costs time and no pair), sizes are
     taken in classes of a factor ``step``, and rows meet on (shingle, both classes) where the rest of both sets, from the
     shingle on, is long enough for c.  Copies with many edits of their own thus
@@ -141,13 +145,13 @@ def remaining_pairs(scratch: Scratch, sets: DataFrame, percent: int, counters: i
     sizes = sets.groupBy("component").agg(F.count("*").alias("members"))
     keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("side").alias("low"), F.max("side").alias("high"))
     keys = keys.where("lo <> hi and (low <> high or low = 0)").select("key")
-    rows = scratch.save(rows.join(keys, "key").join(sizes, "component"), "shared")
+    rows = scratch.save(rows.join(by_merge(keys), "key").join(by_merge(sizes), "component"), "shared")
     top = rows.groupBy("key").agg(F.max(F.struct("members", "component")).alias("t")).select("key", F.col("t.component").alias("top"))
     # Rows of one class ask those of the other: sides are -1 and 1, or 0 where both classes are one.
-    ask = rows.join(top, "key").where("component <> top").select("key", (-F.col("side")).alias("side"), F.col("place").alias("px"), F.col("n").alias("nx"), F.col("id").alias("x"), F.col("component").alias("cx"))
+    ask = rows.join(by_merge(top), "key").where("component <> top").select("key", (-F.col("side")).alias("side"), F.col("place").alias("px"), F.col("n").alias("nx"), F.col("id").alias("x"), F.col("component").alias("cx"))
     told = rows.select("key", "side", F.col("place").alias("py"), F.col("n").alias("ny"), F.col("id").alias("y"), F.col("component").alias("cy"))
     rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
-    pairs = ask.join(told, ["key", "side"]).where("cx <> cy").where(rest * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
+    pairs = ask.join(by_merge(told), ["key", "side"]).where("cx <> cy").where(rest * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
     return scratch.save(pairs.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct(), "pairs")
 
 
@@ -158,7 +162,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (doc_id = component_id).  Rows with equal sets are one node from the start.  In each bucket of a table all members are
     checked against the smallest id, on the full sets.  Buckets that then lie in one component are done; the members of
     the others go through remaining_pairs, which gives every pair of different components that can be similar enough.
-    So no bucket is gathered or paired with itself, and no candidate is dropped.
+    So no bucket is gathered or paired with itself, and no candidate is dropped.  All joins are by merge: beside plans and counts
+    the driver holds one byte for each counter of rarity.
 
     A null or wordless text has an empty set and is linked with nothing.  Rows that share an id count as one document.
     A null id gives a null component and kept = true.  An empty table gives an empty result.  Further columns are ignored.
@@ -177,21 +182,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = usable.select("id", "n", F.posexplode(first).alias("i", "a"), second.alias("kb")).select("id", "n", "i", "a", F.posexplode("kb").alias("j", "b"))
     entries = entries.select(F.xxhash64("a", "b", F.col("i") * collections + F.col("j")).alias("key"), "id", "n")
     shared = entries.groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"), F.max("id").alias("last")).where("p.id <> last").select("key", F.col("p.id").alias("pivot"), F.col("p.n").alias("pn"))
-    members = scratch.save(entries.join(shared, "key"), "members")
+    members = scratch.save(entries.join(by_merge(shared), "key"), "members")
     ids = members.select("id").distinct()
-    sets = scratch.save(shingle_sets(docs.join(ids, docs.doc_id == ids.id, "left_semi"), width).distinct(), "sets")
+    sets = scratch.save(shingle_sets(docs.join(by_merge(ids), docs.doc_id == ids.id, "left_semi"), width).distinct(), "sets")
     pairs = members.where("id > pivot").where(F.least("n", "pn") * 100 >= F.greatest("n", "pn") * percent).select(F.col("pivot").alias("p"), F.col("id").alias("q")).distinct()
     links = scratch.save(verified(pairs, sets, percent), "links")
     comp = components(scratch, links)
-    at = members.select("key", "id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    at = members.select("key", "id").join(by_merge(comp.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ids = scratch.save(at.join(split, "key", "left_semi").select("id", "component").distinct(), "open")
+    open_ids = scratch.save(at.join(by_merge(split), "key", "left_semi").select("id", "component").distinct(), "open")
     if not open_ids.isEmpty():
-        more = verified(remaining_pairs(scratch, sets.join(open_ids, "id"), percent), sets, percent)
+        more = verified(remaining_pairs(scratch, sets.join(by_merge(open_ids), "id"), percent), sets, percent)
         links = scratch.save(links.union(more), "links")
         comp = components(scratch, links)
-    out = sigs.join(nodes.select("digest", F.col("id").alias("node")), "digest", "left")
-    out = out.join(comp, "node", "left")
+    out = sigs.join(by_merge(nodes.select("digest", F.col("id").alias("node"))), "digest", "left")
+    out = out.join(by_merge(comp), "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), own).alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

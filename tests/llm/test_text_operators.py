@@ -504,3 +504,20 @@ def test_texts_over_a_mebibyte(spark):
     assert {x.doc_id: x.n for x in per.collect()}[1] == len(long) + 1
     blocks.release(stored)
     assert np.isfinite([x.perplexity for x in per.where("perplexity is not null").collect()]).all()
+
+
+def plans_since(spark, first):
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [runs.apply(i).physicalPlanDescription() for i in range(runs.size()) if runs.apply(i).executionId() >= first]
+
+
+def test_near_duplicates_leave_the_driver_little(spark, texts, tmp_path):
+    """No side of a join is broadcast, and rarity comes to the driver as a byte for each counter, in the order of the counts."""
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = 1 + max([-1, *(runs.apply(i).executionId() for i in range(runs.size()))])
+    near_duplicates.near_duplicates(frame(spark, texts)).write.parquet(str(tmp_path / "out"))
+    plans = plans_since(spark, first)
+    assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
+    sets = spark.createDataFrame([([h] * n,) for h, n in ((5, 1), (6, 2), (7, 40), (8, 100_000))], "shingles array<long>")
+    got = near_duplicates.shingle_counts(sets, 1 << 18)
+    assert got.nbytes == 1 << 18 and got[4] == 0 and 0 < got[5] < got[6] < got[7] < got[8] < 255
