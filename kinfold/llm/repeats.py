@@ -9,7 +9,10 @@ meet in one shard wherever they stand.  It goes block by block (see blocks):
 2. of each different stretch of such an anchor one holder (the smallest document) sends the bytes.  The shard sorts the suffixes
    that begin windows, takes the common prefixes of neighbours, and scans them with a stack for the intervals of at
    least ``length`` bytes.  Intervals whose members are all preceded by one byte are left out (a longer repeat holds them);
-   the rest are the maximal repeats with all their members, and members in larger documents than the smallest lose the bytes;
+   the rest are the maximal repeats with all their members, and members in larger documents than the smallest lose the bytes.
+   Such intervals lie within suffixes of one first window, so the shard takes a part of its anchors at a time, and of these the
+   suffixes whose first window occurs twice, in parts of whole windows: what it holds follows neither the share of
+   anchors with several stretches, which grows with the corpus, nor the commonest anchor;
 3. the block applies both answers to its texts.
 
 Equal stretches collapse to one row for each block before anything moves, so a passage that stands in a third of all
@@ -29,6 +32,8 @@ from . import blocks as B
 from .common import _BYTE_CASED, _GOLD, Scratch, mix64, powers
 
 GRAM = 20
+#: Suffixes that are sorted at once, about 200 bytes each.
+SUFFIXES = 1 << 18
 
 
 class Stretches:
@@ -104,24 +109,45 @@ class Stretches:
         return lo, hi, val[lo], digest, row[lo].astype(np.int64)
 
 
-def interval_tree(strings: list[bytes], docs: np.ndarray, length: int):
+def suffixes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(string, start) of the suffixes that have at least ``length`` bytes."""
+    per = np.array([len(s) for s in strings], np.int64) - length + 1
+    return np.repeat(np.arange(len(strings)), per), np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+
+
+def first_windows(strings: list[bytes], length: int) -> np.ndarray:
+    """A hash of the first ``length`` bytes of each of the suffixes, in their order; about a MB of strings at a time."""
+    ends, at, out = np.cumsum([len(s) for s in strings]), 0, []
+    while at < len(strings):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20))))
+        a = np.frombuffer(b"".join(strings[at:to]), np.uint8)
+        pw, inv = powers(len(a) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(a) + 1, np.uint64)
+            np.cumsum(_BYTE_CASED[a] * pw[: len(a)], out=total[1:])
+            h = mix64((total[length:] - total[:-length]) * inv[: len(a) - length + 1])
+        which, start = suffixes(strings[at:to], length)
+        sizes = np.array([len(x) for x in strings[at:to]], np.int64)
+        out.append(h[(np.cumsum(sizes) - sizes)[which] + start])
+        at = to
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def interval_tree(strings: list[bytes], docs: np.ndarray, length: int, members: tuple[np.ndarray, np.ndarray] | None = None):
     """The maximal repeats of at least ``length`` bytes in the strings, and the suffixes in order.
 
     Returns (which, start) of the suffixes in the order of the suffix array (those with at least ``length`` bytes), and a list of
     (left, right, common prefix, smallest document): the members of a repeat are suffixes left .. right.  Parents come before
-    their children.
+    their children.  ``members``: the (string, start) of the only suffixes to take, with all that share their first window.
     """
     sizes = np.array([len(s) for s in strings], np.int64)
     width = int(sizes.max())
     flat = np.frombuffer(b"".join(strings) + bytes(width), np.uint8)
     begin = np.cumsum(sizes) - sizes
-    per = sizes - length + 1
-    which = np.repeat(np.arange(len(strings)), per)
-    start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    which, start = members or suffixes(strings, length)
     at, room = begin[which] + start, sizes[which] - start
     width = -(-width // 8) * 8
     # Sort by words of eight bytes, the last first; what lies beyond a string's end counts as zero.
-    order = np.arange(len(at))
     flat = np.concatenate([flat, np.zeros(width, np.uint8)])
     words = []
     for k in range(0, width, 8):
@@ -130,12 +156,12 @@ def interval_tree(strings: list[bytes], docs: np.ndarray, length: int):
             w = (w << np.uint64(8)) | np.where(room > k + j, flat[at + k + j], 0).astype(np.uint64)
         words.append(w)
     order = np.lexsort(words[::-1])
-    words = [w[order] for w in words]
     which, start, room = which[order], start[order], room[order]
     # Common prefixes of neighbours: whole words, then the first differing byte within a word.
     lcp = np.zeros(len(order), np.int64)
     same = np.ones(max(0, len(order) - 1), bool)
     for w in words:
+        w = w[order]
         x = w[1:] ^ w[:-1]
         add = np.full(len(x), 8, np.int64)
         nz = x != 0
@@ -180,20 +206,59 @@ def interval_tree(strings: list[bytes], docs: np.ndarray, length: int):
     return which, start, out
 
 
-def removals(strings: list[bytes], docs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(string, start, bytes): parts of strings that a string of a smaller document has too."""
-    which, start, tree = interval_tree(strings, docs, length)
-    best, doc = np.zeros(len(which), np.int64), docs[which]
-    for left, right, depth, low in tree:
-        if right - left < 8:
-            for i in range(left, right + 1):
-                if doc[i] > low:
-                    best[i] = max(best[i], depth)
-        else:
-            part = best[left : right + 1]
-            np.maximum(part, np.where(doc[left : right + 1] > low, depth, 0), out=part)
-    hit = np.flatnonzero(best)
-    return which[hit], start[hit], best[hit]
+def removals(strings: list[bytes], docs: np.ndarray, length: int, most: int = SUFFIXES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, bytes): parts of strings that a string of a smaller document has too.  At most ``most`` suffixes are sorted
+    at once, or those of one first window if these are more."""
+    hashes = first_windows(strings, length)
+    by = np.argsort(hashes, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], hashes[by][1:] != hashes[by][:-1]])) if len(by) else np.empty(0, np.int64)
+    size = np.diff(np.append(head, len(by)))
+    by, size = by[np.repeat(size > 1, size)], size[size > 1]
+    del hashes, head
+    all_, at = suffixes(strings, length), 0
+    ends, out = np.cumsum(size), []
+    while at < len(by):
+        to = int(ends[max(np.searchsorted(ends, at + most, side="right") - 1, np.searchsorted(ends, at, side="right"))])
+        part = np.sort(by[at:to])
+        which, start, tree = interval_tree(strings, docs, length, (all_[0][part], all_[1][part]))
+        best, doc = np.zeros(len(which), np.int64), docs[which]
+        for left, right, depth, low in tree:
+            if right - left < 8:
+                for i in range(left, right + 1):
+                    if doc[i] > low:
+                        best[i] = max(best[i], depth)
+            else:
+                span = best[left : right + 1]
+                np.maximum(span, np.where(doc[left : right + 1] > low, depth, 0), out=span)
+        hit = np.flatnonzero(best)
+        out.append((which[hit], start[hit], best[hit]))
+        at = to
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+
+
+def shard_removals(sent: list[dict[str, np.ndarray]], length: int, most: int = SUFFIXES) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(sender, key, start, bytes): the removals among the stretches that a shard was sent, by sender; the anchors' tags deal them into
+    parts of about 4 * ``most`` suffixes, or those of one tag if these are more."""
+    owner = np.repeat(np.arange(len(sent)), [len(g["k"]) for g in sent])
+    k, o, n, tag = (np.concatenate([g[x] for g in sent]) for x in "kont")
+    ends = np.concatenate([np.cumsum(g["n"]) for g in sent])
+    raw = [memoryview(g["b"]) for g in sent]
+    by = np.argsort(tag, kind="stable")
+    tags, count = np.unique(tag, return_counts=True)
+    last = np.cumsum(count)
+    upto = np.cumsum((n - length + 1)[by])
+    out, at = [], 0
+    while at < len(by):
+        full = np.searchsorted(upto, (upto[at - 1] if at else 0) + 4 * most, side="right")
+        to = int(last[max(np.searchsorted(last, full, side="right") - 1, np.searchsorted(last, at, side="right"))])
+        part = by[at:to]
+        strings = [raw[i][e - x : e] for i, e, x in zip(owner[part].tolist(), ends[part].tolist(), n[part].tolist())]
+        which, start, size = removals(strings, o[part], length, most)
+        out.append((part[which], start, size))
+        at = to
+    which, start, size = (np.concatenate(x) for x in zip(*out))
+    senders = owner[which]
+    return [(int(i), k[which[m]], start[m], size[m]) for i in np.unique(senders) for m in [senders == i]]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, shards: int | None = None) -> DataFrame:
@@ -239,7 +304,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def judge(frame: pd.DataFrame) -> pd.DataFrame:
         """Flags for each key asked: 1 if a smaller document elsewhere has the stretch, 2 if its bytes are wanted."""
         got = [B.decode(b) for b in frame["blob"]]
-        a, d, o = (np.concatenate([g[k] for g in got]) for k in "ado")
+        sizes = [len(g["a"]) for g in got]
+        a, d, o = (np.concatenate([g.pop(k) for g in got]) for k in "ado")
         by = np.lexsort((o, d, a))
         a, d, o = a[by], d[by], o[by]
         new = np.ones(len(by), bool)
@@ -252,7 +318,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         several = np.repeat(np.minimum.reduceat(low, head) != np.maximum.reduceat(low, head), lens)
         flags = np.empty(len(by), np.uint8)
         flags[by] = (low < o) + 2 * (several & (low == o)).astype(np.uint8)
-        ends = np.cumsum([len(g["a"]) for g in got])
+        ends = np.cumsum(sizes)
         return pd.DataFrame({"blk": frame["blk"], "shard": frame["shard"], "blob": [B.encode({"f": x}) for x in np.split(flags, ends[:-1])]})
 
     def flags_of(s: Stretches, msgs, kind: int):
@@ -273,22 +339,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         lo, hi = s.lo[s.holder[k]], s.hi[s.holder[k]]
                         size = hi - lo
                         take = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                        out.append((blk, j, B.encode({"k": k, "o": s.doc[s.holder[k]], "n": size, "b": s.data[take]})))
+                        tag = (mix64(s.anchor[s.holder[k]]) >> np.uint64(48)).astype(np.uint16)
+                        out.append((blk, j, B.encode({"k": k, "o": s.doc[s.holder[k]], "n": size, "t": tag, "b": s.data[take]})))
                 if out:
                     yield rows(out)
 
     def sort(frame: pd.DataFrame) -> pd.DataFrame:
-        got = [B.decode(b) for b in frame["blob"]]
-        owner = np.repeat(np.arange(len(got)), [len(g["k"]) for g in got])
-        k, o, n = (np.concatenate([g[x] for g in got]) for x in "kon")
-        raw = b"".join(g["b"].tobytes() for g in got)
-        ends = np.cumsum(n)
-        strings = [raw[e - x : e] for e, x in zip(ends.tolist(), n.tolist())]
-        which, start, size = removals(strings, o, length)
-        out = []
-        for i in np.unique(owner[which]):
-            m = owner[which] == i
-            out.append((int(frame["blk"].iloc[i]), int(frame["shard"].iloc[i]), B.encode({"k": k[which[m]], "s": start[m], "n": size[m]})))
+        found = shard_removals([B.decode(b) for b in frame["blob"]], length)
+        out = [(int(frame["blk"].iloc[i]), int(frame["shard"].iloc[i]), B.encode({"k": k, "s": start, "n": size})) for i, k, start, size in found]
         return pd.DataFrame(out, columns=["blk", "shard", "blob"])
 
     def apply(batches):

@@ -521,3 +521,41 @@ def test_near_duplicates_leave_the_driver_little(spark, texts, tmp_path):
     sets = spark.createDataFrame([([h] * n,) for h, n in ((5, 1), (6, 2), (7, 40), (8, 100_000))], "shingles array<long>")
     got = near_duplicates.shingle_counts(sets, 1 << 18)
     assert got.nbytes == 1 << 18 and got[4] == 0 and 0 < got[5] < got[6] < got[7] < got[8] < 255
+
+
+def test_suffixes_are_sorted_in_bounded_parts():
+    """One phrase in 30,000 different contexts, beside strings of their own: brute force's removals, in a bounded part of memory."""
+    import tracemalloc
+
+    r, np = random.Random(11), repeats.np
+    hot = r.randbytes(55)
+    strings = [r.randbytes(12) + hot + r.randbytes(13) if i % 2 else r.randbytes(80) for i in range(40_000)] + [b"q" * 80, b"p" + b"q" * 79]
+    docs = np.array([(i * 7919) % 40_009 for i in range(len(strings))])
+    repeats.removals(strings[:2], docs[:2], 50)
+    tracemalloc.start()
+    which, start, size = repeats.removals(strings, docs, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    first = {}
+    for s, d in zip(strings, docs.tolist()):
+        for p in range(len(s) - 49):
+            first[s[p : p + 50]] = min(d, first.get(s[p : p + 50], d))
+    want = {i: {x for p in range(len(s) - 49) if first[s[p : p + 50]] < d for x in range(p, p + 50)} for i, (s, d) in enumerate(zip(strings, docs.tolist()))}
+
+    def covered(found):
+        got = {i: set() for i in want}
+        for i, a, n in found:
+            got[i] |= set(range(a, a + n))
+        return got
+
+    assert covered(zip(which.tolist(), start.tolist(), size.tolist())) == want
+    assert peak < 200 << 20
+    # As a shard gets them: two senders, tags that keep some strings apart from others, small parts.
+    some = list(range(1, 400, 2)) + [40_000, 40_001]
+    half = [some[::2], some[1::2]]
+    sent = [{"k": np.array(h), "o": docs[h], "n": np.array([len(strings[i]) for i in h]), "t": np.array([i // 40_000 for i in h], np.uint16), "b": np.frombuffer(b"".join(strings[i] for i in h), np.uint8)} for h in half]
+    got = [(i, a, n) for _, k, s, z in repeats.shard_removals(sent, 50, most=16) for i, a, n in zip(k.tolist(), s.tolist(), z.tolist())]
+    low = min(docs[i] for i in some if i < 40_000)
+    got = covered(got)
+    assert all(got[i] == set() if docs[i] == low else got[i] >= set(range(12, 67)) for i in some if i < 40_000)
+    assert got[40_000] | got[40_001] == want[40_000] | want[40_001]
