@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kinfold.llm import kneser_ney, line_runs, mixing, near_duplicates, packing
-from kinfold.llm.common import Scratch
+from kinfold.llm.common import Scratch, by_merge
 from kinfold.llm.queries import trusted
 
 
@@ -31,7 +31,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies (similarity of 0.8 or more) the document with the smallest id stays.  Null and wordless texts are linked
     with nothing and stay, null ids too; rows that share an id are one document and go or stay together; an empty table gives no rows."""
     gone = near_duplicates.near_duplicates(docs, percent=80, collections=9).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.join(by_merge(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,10 +67,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def shingle_counts(sets: DataFrame, counters: int) -> np.ndarray:
-    """How often shingles occur in the sets, by hash, in a fixed number of counters: levels of one byte, eight to a doubling.
+    """How often shingles occur in the sets, by hash, in a fixed number of counters of two bytes: exact below 2**15, then 1024 levels to a doubling.
 
     A task adds up its own and sends one compressed array; these are added in up to 64 groups, then over the groups, and one
-    array of levels comes to the driver, a byte for each counter.  Levels keep the order of the counts but for ties.
+    array comes to the driver.  Levels keep the order of the counts but for ties.
     """
 
     def count(batches):
@@ -86,13 +86,13 @@ def shingle_counts(sets: DataFrame, counters: int) -> np.ndarray:
 
     def level(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(zstandard.decompress(x), np.int64) for x in frame["blob"])
-        return pd.DataFrame({"g": [0], "blob": [zstandard.compress(np.minimum(255, np.rint(8 * np.log2(1 + total))).astype(np.uint8).tobytes())]})
+        return pd.DataFrame({"g": [0], "blob": [zstandard.compress(np.where(total < 1 << 15, total, (1 << 15) + 1024 * (np.log2(np.maximum(total, 1)) - 15)).astype(np.uint16).tobytes())]})
 
     parts = sets.select("shingles").mapInArrow(count, "g long, blob binary")
     for f in (add, level):
         parts = parts.groupBy("g").applyInPandas(f, "g long, blob binary")
     got = parts.first()
-    return np.frombuffer(zstandard.decompress(got.blob), np.uint8) if got else np.zeros(counters, np.uint8)
+    return np.frombuffer(zstandard.decompress(got.blob), np.uint16) if got else np.zeros(counters, np.uint16)
 
 
 def remaining_pairs(scratch: Scratch, sets: DataFrame, percent: int, counters: int | None = None, step: float = 1.04) -> DataFrame:
@@ -100,7 +100,7 @@ def remaining_pairs(scratch: Scratch, sets: DataFrame, percent: int, counters: i
 
     Two sets of sizes m and n are similar enough only if they share at least c = percent / (100 + percent) * (m + n) shingles, so
     in any fixed order of the shingles they share one among the first m - c + 1 of the one and the first n - c + 1 of the other.
-    The order is rarest first (counts by hash; as many counters as there are shingles, between 2**18 and 2**23, so at most 8 MB
+    The order is rarest first (counts by hash; as many counters as there are shingles, between 2**18 and 2**23, so at most 16 MB
     are broadcast; more shingles share counters, which costs time and no pair), sizes are
     taken in classes of a factor ``step``, and rows meet on (shingle, both classes) where the rest of both sets, from the
     shingle on, is long enough for c.  Copies with many edits of their own thus
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     checked against the smallest id, on the full sets.  Buckets that then lie in one component are done; the members of
     the others go through remaining_pairs, which gives every pair of different components that can be similar enough.
     So no bucket is gathered or paired with itself, and no candidate is dropped.  All joins are by merge: beside plans and counts
-    the driver holds one byte for each counter of rarity.
+    the driver holds two bytes for each counter of rarity.
 
     A null or wordless text has an empty set and is linked with nothing.  Rows that share an id count as one document.
     A null id gives a null component and kept = true.  An empty table gives an empty result.  Further columns are ignored.

@@ -179,3 +179,13 @@ def test_stages_on_odd_rows(spark, tmp_path):
             if data and stage in ("mix_sources", "pack"):
                 assert set(got) <= {str(big), "9", "None"} and str(big) in got
             docs = after
+
+
+def test_near_dedup_stage_broadcasts_nothing(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.createDataFrame([(i, f"w{i} " + " ".join(f"x{i % 3}{j}" for j in range(60))) for i in range(9)], "doc_id long, text string")
+    out = cp.near_dedup(spark, docs, "")
+    assert {r.doc_id for r in out.collect()} == {0, 1, 2}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]  # as it ran
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -512,7 +512,7 @@ def plans_since(spark, first):
 
 
 def test_near_duplicates_leave_the_driver_little(spark, texts, tmp_path):
-    """No side of a join is broadcast, and rarity comes to the driver as a byte for each counter, in the order of the counts."""
+    """No side of a join is broadcast, and rarity comes to the driver as two bytes for each counter, in the order of the counts."""
     runs = spark._jsparkSession.sharedState().statusStore().executionsList()
     first = 1 + max([-1, *(runs.apply(i).executionId() for i in range(runs.size()))])
     near_duplicates.near_duplicates(frame(spark, texts)).write.parquet(str(tmp_path / "out"))
@@ -520,7 +520,7 @@ def test_near_duplicates_leave_the_driver_little(spark, texts, tmp_path):
     assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
     sets = spark.createDataFrame([([h] * n,) for h, n in ((5, 1), (6, 2), (7, 40), (8, 100_000))], "shingles array<long>")
     got = near_duplicates.shingle_counts(sets, 1 << 18)
-    assert got.nbytes == 1 << 18 and got[4] == 0 and 0 < got[5] < got[6] < got[7] < got[8] < 255
+    assert got.nbytes == 2 << 18 and got[4:8].tolist() == [0, 1, 2, 40] and 1 << 15 < got[8] < (1 << 15) + 2048
 
 
 def test_suffixes_are_sorted_in_bounded_parts():
