@@ -168,3 +168,39 @@ def test_generated_databases(spark):
         W.save_catalog(spark, "kinfold_test", {"assignment": a, "resume": r})
     assert spark.table("kinfold_test.assignment").count() == a.count() and {t.name for t in spark.catalog.listTables("kinfold_test")} == {"assignment", "resume"}
     spark.sql("drop database kinfold_test cascade")
+
+
+def folded(records, strict=False):
+    """Decisions by the arrays' fold, and how many combinations its persons were compared with."""
+    import json
+
+    import pyarrow as pa
+
+    from kinfold.operators.names import parse
+
+    parts = [[json.dumps({k: p[k] for k in keys if p[k] is not None}) for keys in (resolve.FIRST, resolve.PATR, resolve.OTHER)] for p in (parse(raw, strict) for _, raw in records)]
+    cols = [pa.array([s for s, _ in records], pa.int64()), pa.array([x for _, x in records], pa.string()), *[pa.array([p[k] for p in parts]) for k in range(3)]]
+    met, against = [], resolve.Fold.against
+    resolve.Fold.against = lambda self, i: met.append(len(x := against(self, i)) and len(x[0])) or x
+    try:
+        out = resolve.fold_table(pa.table(cols, ["seq", "fio", "first_part", "patr_part", "other_part"]), resolve.Rules(strict=strict)).to_pylist()
+    finally:
+        resolve.Fold.against = against
+    return out, sum(met)
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_fold_of_unread_names(strict):
+    """Names of two unread words are all alike by their residue and nearly all are new persons, however many: the fold gives what the plain
+    one gives, and a new person meets the few surnames near its own, not all of them."""
+    import itertools
+    import random
+
+    r = random.Random(3)
+    words = ["".join(r.choice("бвгджзклмнпрстфхцчш") + r.choice("аеиоу") for _ in range(4)) for _ in range(40)]
+    names = [f"{a} {b}" for a, b in itertools.permutations(words, 2)]
+    r.shuffle(names)
+    mixed = [*names[:150], *names[:40], "Мамин-Сибиряк Д. Н.", "Мамин-Сибиряк Дмитрий", "Салтыков-Щедрин Иван Иванович", names[0] + " Иван", names[1] + " И. И.", None, "", *names[:20]]
+    records = list(enumerate(mixed, 1))
+    assert folded(records, strict)[0] == resolve.fold_records(records, resolve.Rules(strict=strict))
+    assert folded(list(enumerate(names[:1500], 1)))[1] < 40 * 1500
